@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, line_dedup, packing, pii, quality_rules
+from tessera.llm import html_text, language_id, line_dedup, lm_scoring, packing, pii, quality_rules
 from tessera.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("lang_mix")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,16 +30,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_quality_rules": op6_quality_rules,
         "op8_pii": op8_pii,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_html_text": op10_html_text,
     }
 
