@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, language_id, line_dedup, lm_scoring, packing, pii, quality_rules
+from tessera.llm import html_text, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, token_output
 from tessera.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).drop("lang_mix")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_token_output": op2_token_output,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_quality_rules": op6_quality_rules,
