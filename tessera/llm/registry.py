@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, language_id, line_dedup, lm_scoring, packing, pii, quality_rules, token_output
+from tessera.llm import html_text, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, token_output
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_token_output": op2_token_output,
+        "op3_ngram_join": op3_ngram_join,
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_quality_rules": op6_quality_rules,
@@ -56,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE}
+    return {"op3_ngram_join": ngram_join.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
