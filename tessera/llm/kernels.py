@@ -61,9 +61,9 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0)
     return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U) * _MULT[15 - k])
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts, and the n + 1 offsets of the texts into them."""
-    inner = ~SPACE[buf]
+def word_spans(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and the n + 1 offsets of the texts into them; apart: bytes between words."""
+    inner = ~apart[buf]
     first = inner.copy()
     first[1:] &= ~inner[:-1]
     last = inner.copy()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, token_output
+from tessera.llm import decontaminate, html_text, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, token_output
 from tessera.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("redacted")
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_packing": op5_packing,
         "op6_quality_rules": op6_quality_rules,
+        "op7_decontaminate": op7_decontaminate,
         "op8_pii": op8_pii,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_html_text": op10_html_text,
