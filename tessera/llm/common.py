@@ -77,3 +77,11 @@ def mapped(df: DataFrame, columns: list[str], text: str | None, fn: Callable, sc
 
 def ints(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return np.asarray(pc.fill_null(batch.column(column), 0), dtype=np.int64)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it if the table has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

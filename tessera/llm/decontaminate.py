@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
-from tessera.llm.common import mapped
+from tessera.llm.common import free_name, mapped
 
 SHORTEST = 8
 SAMPLED = 2
@@ -201,10 +201,10 @@ class Index:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """docs with ``items`` added: the ascending ids of the items each text holds."""
-    names = docs.columns
-    kind = T.StructType(list(docs.schema.fields)).add("items", T.ArrayType(T.LongType()))
-    out = docs.withColumn("items", F.array().cast("array<long>"))
+    """docs with ``items`` added last, renamed if it clashes: the ascending ids of the items each text holds."""
+    names, added = docs.columns, free_name(docs, "items")
+    kind = T.StructType(list(docs.schema.fields)).add(added, T.ArrayType(T.LongType()))
+    out = docs.withColumn(added, F.array().cast("array<long>"))
     chosen = benchmark.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col(item_text)).orderBy(item, item_text)
     part: list = []
     blocks: list[list] = []
@@ -219,12 +219,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             known = index.value
             w, at = words(batch.column(text))
-            had = batch.column("items").to_pylist()
+            had = batch.column(added).to_pylist()
             for t, k in known.matches(w, at):
                 had[t] = sorted({*had[t], known.ids[k]})
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(had, pa.list_(pa.int64()))], [*names, "items"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(had, pa.list_(pa.int64()))], [*names, added])
 
-        out = mapped(out, [*names, "items"], text, run, kind)
+        out = mapped(out, [*names, added], text, run, kind)
     return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
-from tessera.llm.common import mapped, slices
+from tessera.llm.common import free_name, mapped, slices
 
 SMOOTH = 0.5
 ROUNDS = 12
@@ -163,7 +163,8 @@ def infer(model: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_mix (language -> proportion) added."""
+    """docs with lang_pred, lang_score and lang_mix (language -> proportion) added last, renamed if they clash."""
+    added = [free_name(docs, c) for c in ("lang_pred", "lang_score", "lang_mix")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -179,9 +180,9 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 pred[i], score[i] = known.languages[j], min(1.0, max(0.0, float(pi[i, j] * sure[i])))
                 mix[i] = [(known.languages[k], float(pi[i, k])) for k in np.flatnonzero(pi[i] > 0)]
         kind = pa.map_(pa.string(), pa.float64())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(mix, kind)], [*names, "lang_pred", "lang_score", "lang_mix"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(mix, kind)], [*names, *added])
 
-    schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_mix", T.MapType(T.StringType(), T.DoubleType()))
+    schema = T.StructType(list(docs.schema.fields)).add(added[0], "string").add(added[1], "double").add(added[2], T.MapType(T.StringType(), T.DoubleType()))
     return mapped(docs, names, text, run, schema)
 
 

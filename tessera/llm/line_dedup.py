@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.common import Workspace, ints, mapped
+from tessera.llm.common import Workspace, free_name, ints, mapped
 
 MIN_CHARS = 10
 THRESHOLD = 2
@@ -80,17 +80,19 @@ def dropped_keys(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD, name: str = "lines") -> DataFrame:
-    """docs with ``text`` reassembled, and columns n_lines, n_dropped, kept_sha256 added under a prefix ``line_``."""
+    """docs with ``text`` reassembled and n_lines, n_dropped, kept_sha256 added last, renamed if they clash."""
+    added = [free_name(docs, c) for c in ("n_lines", "n_dropped", "kept_sha256")]
+    lost_name, key_name = free_name(docs, "_lost"), free_name(docs, "_key")
     ws = Workspace(docs.sparkSession, name)
     lost = dropped_keys(docs, ws, key, text, min_chars, threshold)
-    marked = docs.withColumn("_key", F.col(key).cast("long")).join(lost.withColumnRenamed("doc_id", "_key").withColumnRenamed("lost", "_lost"), "_key", "left")
+    marked = docs.withColumn(key_name, F.col(key).cast("long")).join(lost.select(F.col("doc_id").alias(key_name), F.col("lost").alias(lost_name)), key_name, "left")
 
     names = docs.columns
 
     def reassemble(batch: pa.RecordBatch) -> pa.RecordBatch:
         buf, off, starts, ends, at, h1, h2, wide = keyed_lines(batch.column(text), min_chars)
         keep = np.ones(len(starts), bool)
-        col = batch.column("_lost")
+        col = batch.column(lost_name)
         for i in np.flatnonzero(np.asarray(col.is_valid())):
             gone = col[int(i)].values
             gone = set(zip(gone.field("h1").to_pylist(), gone.field("h2").to_pylist()))
@@ -107,16 +109,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         shas = [hashlib.sha256(x).hexdigest() for x in texts]
         text_out = pa.array(texts, pa.binary()).cast(pa.string())
         cols = [text_out if c == text else batch.column(c) for c in names]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(n - left), pa.array(shas)], [*names, "line_n_lines", "line_n_dropped", "line_kept_sha256"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(n - left), pa.array(shas)], [*names, *added])
 
     schema = docs.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in docs.columns]).schema
-    schema = schema.add("line_n_lines", "long").add("line_n_dropped", "long").add("line_kept_sha256", "string")
-    return mapped(marked, [*docs.columns, "_lost"], text, reassemble, schema)
+    schema = schema.add(added[0], "long").add(added[1], "long").add(added[2], "string")
+    return mapped(marked, [*docs.columns, lost_name], text, reassemble, schema)
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:
-    out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("line_n_lines").alias("n_lines"), F.col("line_n_dropped").alias("n_dropped"), F.col("line_kept_sha256").alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text")).drop("text")
 
 
 #: DuckDB SQL of op4_line_dedup.
