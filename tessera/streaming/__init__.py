@@ -1,0 +1,4 @@
+"""Streaming: the dialect has no unbounded source, time type or window, so nothing is registered here.
+
+A table version is an ordinary lazy DataFrame (``Database.sql``), so a streaming job can join it as it is.
+"""
