@@ -206,11 +206,11 @@ def score(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFram
     positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where(F.col("n") * hot >= total).orderBy("key").toArrow()  # hot rows at most
     model = automaton(grams, positions, capacity) if positions else None
+    ends = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast((np.asarray(frequent.column("key")), np.asarray(frequent.column("n")).astype(np.float64), model))
 
     def run(batches):
         keys, n, machine = shared.value
-        ends = n[np.searchsorted(keys, END_HASH)] if END_HASH in keys else 0.0
         logs = np.log10(n + 0.5)
         for batch in batches:
             for a, b in slices(batch, "text"):
