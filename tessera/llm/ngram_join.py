@@ -6,11 +6,12 @@ o = ceil(3n / 4) shares at least l shingles of its first n - o + l with any part
 the estimated cost of scanning those lists and verifying what they propose, and a pair must share min(l, l')
 prefix shingles before it is verified on the whole sets.
 
-Only components are asked for, so links that are implied need no verification.  First each list proposes its
-members to its smallest one; then, for lists that still hold several components, every pair across components
-that shares enough is verified.  No link between different texts is lost, and a group of n near copies costs
-about n verifications, not their square.  A list's hot shingles are cut into parts of about ``SPLIT`` documents
-by the count table and their heads are joined in a further step.
+Only components are asked for, so links that are implied need no verification.  Prefix shingles that are in no
+other prefix bound what two documents can share, which rules out most pairs.  Each list then proposes its members
+to its most central one; last, for lists that still hold several components, every pair across components that
+shares enough and can overlap enough is verified.  No link between different texts is lost, and a group of n near
+copies costs about n verifications, not their square.  Hot shingles' lists are cut into parts of about ``SPLIT``
+documents by the count table before they are sorted.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing; a row with a null doc_id keeps its
 n_shingles, has a null component_id and links nothing.  Rows sharing a doc_id are one node with several sets.
@@ -113,37 +114,29 @@ def postings(docs: DataFrame, seen: np.ndarray) -> DataFrame:
 
 
 def lists(posts: DataFrame, n: int) -> DataFrame:
-    """Entries of lists with two members or more (or cut into parts), each with the first entry of its part."""
+    """token, id and meta of the entries of lists with two members or more, or cut into parts."""
 
     def run(batches):
-        held = None  # token, salt, head id, head meta of the list under way; alone: its head was not given out yet
-        alone = False
+        held = None  # token, salt, id, meta of the last entry so far; waits: it was not given out yet
+        waits = False
         for batch in batches:
             token, salt, id_, meta = (np.asarray(batch.column(k)).astype(np.int64) for k in ("token", "salt", "id", "meta"))
             if not len(token):
                 continue
             if held is not None:
                 token, salt, id_, meta = (np.concatenate(([x], y)) for x, y in zip(held, (token, salt, id_, meta)))
-            new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
-            head = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            size = np.diff(np.append(head, len(token)))
-            out = (size > 1)[group] | (salt > 0)
-            if held is not None and not alone:
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            out = salt > 0
+            out[1:] |= same
+            out[:-1] |= same
+            if held is not None and not waits:
                 out[0] = False
-            last = head[-1]
-            if size[-1] == 1 and not (held is not None and last == 0 and not alone):
-                waits, out[last] = not (salt[last] > 0), bool(salt[last] > 0)
-                alone = bool(waits)
-            else:
-                alone = False
-            held = (token[last], salt[last], id_[last], meta[last])
-            first = head[group]
-            cols = [token, salt, id_, meta, id_[first], meta[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in cols], ["token", "salt", "id", "meta", "hub", "hub_meta"])
+            waits = not out[-1] and not (len(token) == 1 and held is not None and not waits)
+            held = (token[-1], salt[-1], id_[-1], meta[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, id_, meta)], ["token", "id", "meta"])
 
     ordered = posts.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "id")
-    return ordered.mapInArrow(run, "token long, salt long, id long, meta long, hub long, hub_meta long")
+    return ordered.mapInArrow(run, "token long, id long, meta long")
 
 
 def size_of(meta: str):
@@ -187,31 +180,53 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     own = docs.where("doc_id IS NOT NULL").join(small(copies, 16), "doc_id", "left_anti")
 
     shared = ws.put(lists(postings(own, frequencies(own)), n), "lists")
-    # Stars: each part's members against its head, and the heads of a cut list against their smallest.
-    heads = shared.where("salt > 0 AND id = hub").select("token", "id", "meta")
-    least = ws.put(heads.groupBy("token").agg(F.min(F.struct("id", "meta")).alias("hub")), "heads")
-    heads = heads.join(small(least, 32), "token").select("id", "meta", F.col("hub.id").alias("hub"), F.col("hub.meta").alias("hub_meta"))
-    star = shared.select("id", "meta", "hub", "hub_meta").union(heads).where("id <> hub")
-    star = star.select("id", "hub", size_of("meta").alias("n"), size_of("hub_meta").alias("m"), F.least(match_of("meta"), match_of("hub_meta")).alias("l"))
-    star = star.where(4 * F.least("n", "m") >= 3 * F.greatest("n", "m")).groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"), F.max("l").alias("l"))
-    star = ws.put(star.where("c >= l").select(F.col("hub").alias("a"), F.col("id").alias("b")), "star")
+    # Of two documents, take the one whose prefix ends first in the order: what it shares with the other of its
+    # prefix is in the other's prefix too, hence in a list.  So its u, its size without prefix shingles that are in
+    # no list, bounds the overlap; which of the two it is isn't kept, so the larger u has to do.
+    sizes = shared.groupBy("id", size_of("meta").alias("n"), match_of("meta").alias("l")).agg(F.count(F.lit(1)).alias("held"))
+    prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + F.col("l")
+    sizes = sizes.select("id", "n", "l", (F.col("n") - F.greatest(F.lit(0), prefix - F.col("held"))).cast("long").alias("u"))
+    sizes = ws.put(sizes, "sizes")
+    live = shared.withColumns({"n": size_of("meta"), "l": match_of("meta"), "place": F.shiftright("meta", 7).bitwiseAND(F.lit((1 << 28) - 1))})
+    live = ws.put(live.join(small(sizes, 32), ["id", "n", "l"]).select("token", "id", "n", "l", "u", (F.col("n") - F.col("place")).alias("left")), "live")
+    ws.drop("lists")
+
+    def possible(a: str, b: str):
+        """Sizes near enough, enough shingles that can be shared, and the shared one inside the pair's own prefixes.
+
+        A linked pair overlaps by o, 3/7 of the sum of sizes or more, so it shares min(l, l') shingles of its first
+        n - o + min(l, l'), which for sizes alike is a seventh of the set rather than a quarter.
+        """
+        na, nb, ua, ub, la, lb, lefta, leftb = (F.col(x + y) for x in ("n", "u", "l", "left") for y in (a, b))
+        inside = 7 * (F.least(lefta, leftb) + F.least(la, lb) - 1) >= 3 * (na + nb)
+        return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * F.greatest(ua, ub) >= 3 * (na + nb)) & inside
+
+    # Stars: each list's members against its most central one, the one with the least share of shingles of its own.
+    hub = F.struct(F.floor(1000 * (F.col("n") - F.col("u")) / F.col("n")).alias("own"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("l").alias("la"), F.col("left").alias("lefta"))
+    hubs = ws.put(live.groupBy("token").agg(F.min(hub).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "hub.*"), "hubs")
+    star = live.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("l").alias("lb"), F.col("left").alias("leftb")).join(hubs, "token").where((F.col("a") != F.col("b")) & possible("a", "b"))
+    star = star.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max(F.least("la", "lb")).alias("l"))
+    star = ws.put(star.where("c >= l").select("a", "b"), "star")
     first = connected(verified(star, own, ws, "star"), ws, "first")
 
     # Across: of lists that still hold several components, every pair across them that shares enough.
     first = ws.put(first, "roots")
-    known = shared.select("token", "id", "meta").join(small(first, 16), F.col("id") == F.col("node"), "left").select("token", "id", "meta", F.coalesce("root", "id").alias("comp"))
-    known = ws.put(known, "known")
-    ws.drop("lists")
+    known = ws.put(live.join(small(first, 16), F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root"), "known")
+    ws.drop("live")
     mixed = known.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k"))
     mixed = ws.put(mixed.where("k > 1").select("token", "top"), "mixed")
     rows = ws.put(known.join(small(mixed, 16), "token"), "across")
-    x = rows.where("comp <> top").select("token", "comp", F.col("id").alias("a"), F.col("meta").alias("ma"))
-    y = rows.select("token", F.col("comp").alias("comp2"), "top", F.col("id").alias("b"), F.col("meta").alias("mb"))
-    fits = 4 * F.least(size_of("ma"), size_of("mb")) >= 3 * F.greatest(size_of("ma"), size_of("mb"))
-    pairs = x.join(y, "token").where((F.col("comp") != F.col("comp2")) & ((F.col("comp2") == F.col("top")) | (F.col("comp") < F.col("comp2"))) & fits)
-    place = lambda m: F.shiftright(F.col(m), 7).bitwiseAND(F.lit((1 << 28) - 1))
-    left = lambda m: size_of(m) - place(m)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least(left("ma"), left("mb")).alias("left"), (size_of("ma") + size_of("mb")).alias("sum"), F.least(match_of("ma"), match_of("mb")).alias("l"))
+    x = rows.where("comp <> top").select("token", *[F.col(c).alias(f"{c}a") for c in ("comp", "id", "n", "l", "u", "left")])
+    y = rows.select("token", "top", *[F.col(c).alias(f"{c}b") for c in ("comp", "id", "n", "l", "u", "left")])
+    once = (F.col("compa") != F.col("compb")) & ((F.col("compb") == F.col("top")) | (F.col("compa") < F.col("compb")))
+    # A linked pair meets in the part of its prefixes that a single match needs; few pairs do, and for these the
+    # shared shingles of the longer parts are counted.
+    soon = 7 * F.least("lefta", "leftb") >= 3 * (F.col("na") + F.col("nb"))
+    met = x.join(y, (x["token"] == y["token"]) & once & possible("a", "b") & soon)
+    met = ws.put(met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "met")
+    entry = lambda s: rows.select("token", F.col("id").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "l", "u", "left")])
+    pairs = entry("a").join(small(met, 16), "a").join(entry("b"), ["b", "token"]).where(possible("a", "b"))
+    pairs = pairs.select("a", "b", F.least("lefta", "leftb").alias("left"), (F.col("na") + F.col("nb")).alias("sum"), F.least("la", "lb").alias("l"))
     # From the first shared shingle on, the shorter rest bounds the overlap.
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("l").alias("l"), F.max("left").alias("left"), F.min("sum").alias("sum"))
     pairs = ws.put(pairs.where("c >= l AND 7 * left >= 3 * sum").select("a", "b"), "pairs")
