@@ -53,11 +53,11 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
-    """Hash of each lower-cased span buf[start:end]; k picks one of two independent tables."""
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0, fold: bool = True) -> np.ndarray:
+    """Hash of each span buf[start:end], A-Z lower-cased if fold; k picks one of two independent tables."""
     p, q = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, U)
-    np.cumsum(_LOWERED[k][buf] * p[:-1], out=sums[1:])
+    np.cumsum((_LOWERED if fold else _TABLES)[k][buf] * p[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U) * _MULT[15 - k])
 
 

@@ -26,16 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import kernels as K
 from tessera.llm.common import Workspace, mapped, slices
 
 END_ID = 2
 PROB = 20
-BLOCK = 1 << 17
-LANES = 512
+BLOCK = 1 << 19
+LANES = 2048
 CHECK = 128
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIQIIQIII")  # magic, version, ids, lanes, steps between checkpoints, words, checkpoints, crc of arrays, crc of ids
-CACHE = 300_000
+CACHE = 1_000_000
+_APART = np.zeros(256, bool)
+_APART[[0x20, 0x0A]] = True
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Encoder:
@@ -49,21 +53,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.width = 2 if size <= 1 << 16 else 4  # bytes of an id on the way to the files
+        self.kind = f"<u{self.width}"
         self.kept: dict[str, bytes] = {}
 
     def _alone(self, part: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind)
 
     def _learn(self, parts: set[str]) -> None:
         plain = [p for p in parts if p.isalpha() and (p.isascii() or unicodedata.is_normalized("NFC", p))]
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some) and (not len(cut) or cut[-1] == len(ids)):
                 raw = ids.tobytes()
                 at = 0
-                for p, b in zip(some, (cut * 4).tolist()):
+                for p, b in zip(some, (cut * self.width).tolist()):
                     self.kept[p] = raw[at:b]
                     at = b
             else:
@@ -82,17 +88,48 @@ class Encoder:
             self.kept[c] = self._alone(c).tobytes()
         return self.kept[c]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id last."""
-        rows = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Little-endian ids of each part."""
         if len(self.kept) > CACHE:
             self.kept.clear()
-        missing = set().union(*rows) - self.kept.keys()
-        stems = {p[:-1] for p in missing if p[-1] in ",." and p[:-1].isalpha()} - self.kept.keys()
-        self._learn(stems - missing)
-        self._learn(missing)
-        end, kept = struct.pack("<I", END_ID), self.kept
-        return [b"".join([kept[p] for p in row]) + end for row in rows]
+        got = list(map(self.kept.get, parts))
+        if None in got:
+            missing = {p for p, ids in zip(parts, got) if ids is None}
+            stems = {p[:-1] for p in missing if p[-1] in ",." and p[:-1].isalpha()} - self.kept.keys()
+            self._learn(stems - missing)
+            self._learn(missing)
+            got = [self.kept[p] if ids is None else ids for p, ids in zip(parts, got)]
+        return got
+
+    def encode(self, col: pa.Array) -> pa.Array:
+        """Little-endian ids of each text of a column, the end id last; nulls are empty texts.
+
+        Each distinct part is looked up once; parts are told apart by hash, length and first bytes.
+        """
+        buf, off = K.flat(col)
+        starts, ends, at = K.word_spans(buf, off, _APART)
+        h = K.span_hash(buf, starts, ends, fold=False)
+        order = np.argsort(h)
+        first = np.ones(len(h), bool)
+        first[1:] = h[order[1:]] != h[order[:-1]]
+        kind = np.empty(len(h), np.int64)
+        kind[order] = np.cumsum(first) - 1
+        rep = order[first]
+        wide = np.concatenate((buf, np.zeros(8, np.uint8)))
+        size = ends - starts
+        eight = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))[starts] & _FIRST[np.minimum(size, 8)]
+        if (size != size[rep][kind]).any() or (eight != eight[rep][kind]).any():  # two parts with one hash: every occurrence for itself
+            rep, kind = np.arange(len(h)), np.arange(len(h))
+        raw = buf.tobytes()
+        got = self.parts([raw[a:b].decode() for a, b in zip(starts[rep].tolist(), ends[rep].tolist())])
+        ids = np.frombuffer(b"".join(got), self.kind)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.width
+        begin = np.cumsum(size) - size
+        cum = np.concatenate(([0], np.cumsum(size[kind])))
+        source = np.repeat(begin[kind] - cum[:-1], size[kind]) + np.arange(cum[-1])
+        out = np.insert(ids[source], cum[at[1:]], END_ID).astype(self.kind)
+        bounds = (cum[at] + np.arange(len(at))) * self.width
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -194,26 +231,26 @@ def decode(data: bytes, table: Table, part: int | None = None) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the ids of each text as little-endian 32-bit integers."""
+    """doc_id and the ids of each text as little-endian integers of the encoder's width."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pc.fill_null(batch.column("text"), "").to_pylist()
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoder(path).encode(texts), pa.binary())], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), encoder(path).encode(batch.column("text"))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return mapped(rows, ["doc_id", "text"], "text", run, "doc_id long, ids binary", max_bytes=1 << 19)
+    return mapped(rows, ["doc_id", "text"], "text", run, "doc_id long, ids binary", max_bytes=4 << 20)
 
 
-def write(tokens: DataFrame, out: str, block: int = BLOCK, lanes: int = LANES, check: int = CHECK) -> None:
-    """Write a tokenised, materialised table in the file format to the folder ``out``."""
+def write(tokens: DataFrame, out: str, width: int, block: int = BLOCK, lanes: int = LANES, check: int = CHECK) -> None:
+    """Write a tokenised, materialised table, of ids ``width`` bytes wide, in the file format to the folder ``out``."""
     spark = tokens.sparkSession
+    kind = f"<u{width}"
 
     def tally(batches):
         seen = np.zeros(1, np.int64)
         for batch in batches:
             for a, b in slices(batch, "ids"):
                 raw = pc.fill_null(batch.column("ids").slice(a, b - a), b"").to_pylist()
-                n = np.bincount(np.frombuffer(b"".join(raw), "<u4"))
+                n = np.bincount(np.frombuffer(b"".join(raw), kind))
                 if len(n) > len(seen):
                     seen, n = n, seen
                 seen[: len(n)] += n
@@ -236,19 +273,19 @@ def write(tokens: DataFrame, out: str, block: int = BLOCK, lanes: int = LANES, c
         size = 0
 
         def row():
-            lengths = [len(p) // 4 for p in parts]
-            data = encode(np.frombuffer(b"".join(parts), "<u4"), known, lanes, check)
+            lengths = [len(p) // width for p in parts]
+            data = encode(np.frombuffer(b"".join(parts), kind).astype(np.uint32), known, lanes, check)
             cols = [pa.array([shard]), pa.array([number]), pa.array([start]), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["shard", "block", "start", "doc_ids", "lengths", "data"])
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if parts and size + len(raw) // 4 > block:
+                if parts and size + len(raw) // width > block:
                     yield row()
                     number, start, docs, parts, size = number + 1, start + size, [], [], 0
                 docs.append(doc)
                 parts.append(raw)
-                size += len(raw) // 4
+                size += len(raw) // width
         if parts:
             yield row()
 
@@ -296,6 +333,6 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("word_bpe_49k.json")
     ws = Workspace(docs.sparkSession, "tokens")
     tokens = ws.put(tokenise(docs, path), "tokens")
-    write(tokens, f"{ws.root}/file")
+    write(tokens, f"{ws.root}/file", encoder(path).width)
     ws.drop("tokens")
     return read(docs.sparkSession, f"{ws.root}/file").drop("ids")
