@@ -87,7 +87,7 @@ def default_rules() -> dict[str, Column]:
         "word_length": (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words")),
         "dup_lines": 10 * c("n_dup_lines") > 3 * F.size(F.split("text", "\n")),
         "shouting": 2 * F.length(F.regexp_replace("text", r"[^A-Z]+", "")) > c("word_chars"),
-        "bullets": 10 * F.regexp_count("text", F.lit(r"(?m)^[\x20\x09]*[-*•]")) > 9 * F.size(F.split("text", "\n")),
+        "bullets": 10 * F.regexp_count("text", F.lit(r"(?md)^[\x20\x09]*[-*•]")) > 9 * F.size(F.split("text", "\n")),
         "letters": 10 * F.regexp_count("text", F.lit(r"\p{L}")) < 7 * c("word_chars"),
     }
 
@@ -120,3 +120,26 @@ def cascade(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Map
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept")
     )
+
+
+#: DuckDB SQL of op6_quality_rules with the default rules.
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+again AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT rid, sum(least(coalesce(nxt - i, 5), 5)) AS n FROM again GROUP BY rid),
+base AS (
+  SELECT doc_id, text, l, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * len(l)
+       OR 2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars
+       OR 10 * len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) > 9 * len(l)
+       OR 10 * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) < 7 * word_chars) AS kept FROM judged
+"""

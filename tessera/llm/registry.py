@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": ngram_join.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
+    return {"op3_ngram_join": ngram_join.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
