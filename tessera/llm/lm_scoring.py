@@ -54,9 +54,12 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tally:
-    """Counts by 64-bit key within a task, merged whenever the unmerged part grows past a bound."""
+    """Counts by 64-bit key within a task, merged whenever the unmerged part grows past a bound.
 
-    def __init__(self, bound: int = 1 << 21):
+    A task gives its counts out and starts anew once ``bound`` distinct keys are held, so its memory is bounded.
+    """
+
+    def __init__(self, bound: int = 1 << 20):
         self.keys, self.counts, self.loose, self.bound = [], [], 0, bound
 
     def add(self, key: np.ndarray, n: np.ndarray) -> None:
@@ -66,6 +69,10 @@ class Tally:
         if self.loose > self.bound:
             self.flush()
 
+    def held(self) -> int:
+        """Distinct keys of the merged part."""
+        return len(self.keys[0]) if self.keys and not self.loose else 0
+
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.keys) > 1:
             key, n = merged(self.keys, self.counts)
@@ -97,14 +104,21 @@ def stream(buf: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarra
 def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
     """kind 0: words by hash, kind 1: byte n-grams of ORDER, over all training rows, one row each, written."""
 
+    def given(kind: int, tally: Tally):
+        key, n = tally.flush()
+        tally.keys, tally.counts = [], []
+        for i in range(0, len(key), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(n[part].astype(np.int64))], ["kind", "key", "n"])
+
     def run(batches):
         words, grams = Tally(), Tally()
         for batch in batches:
             for a, b in slices(batch, "text"):
                 buf, off = K.flat(batch.column("text").slice(a, b - a))
                 starts, ends, at = K.word_spans(buf, off)
-                words.add(*distinct(K.span_hash(buf, starts, ends).view(np.int64)))
                 words.add(np.array([END_HASH]), np.array([len(off) - 1]))
+                words.add(*distinct(K.span_hash(buf, starts, ends).view(np.int64)))
                 s, so = stream(buf, off, starts, ends, at)
                 key = s.astype(np.int64)
                 place = np.arange(len(s)) - np.repeat(so[:-1], np.diff(so))
@@ -114,11 +128,11 @@ def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
                     prior[place < k] = np.where(place[place < k] == k - 1, END, 0)  # a text begins after an end
                     key |= prior << (8 * k)
                 grams.add(*distinct(key))
-        for kind, tally in ((0, words), (1, grams)):
-            key, n = tally.flush()
-            for i in range(0, len(key), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(n[part].astype(np.int64))], ["kind", "key", "n"])
+                for kind, tally in ((0, words), (1, grams)):
+                    if tally.held() > tally.bound:
+                        yield from given(kind, tally)
+        yield from given(0, words)
+        yield from given(1, grams)
 
     rows = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "kind int, key long, n long")
     return ws.put(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
