@@ -1,15 +1,14 @@
-"""Language-model scoring (op 9): a weighted backoff automaton over bytes, and an exact word-unigram base.
+"""Language-model scoring (op 9): an interpolated byte model of every counted context, and an exact word-unigram base.
 
-The text is its words joined by one space, A-Z lower-cased, then an end mark.  Contexts of up to ``ORDER - 1``
-bytes that precede at least a 1 / ``CAPACITY`` share of all training positions are states; being relative, the
-rule acts alike at every size, and at most ``CAPACITY`` contexts of each length can meet it.  Arcs carry
-Witten-Bell interpolated probabilities; a failure arc leads from each state to its longest proper suffix and
-carries the backoff weight.  One left-to-right traversal sums log-probabilities.  Following failure arcs has
-been resolved ahead for every state and byte, and since a state is fixed by the last ``ORDER - 1`` bytes, a
-stream is traversed in many lanes at once, each entering through the bytes before it.
+The text is its words joined by one space, A-Z lower-cased, then an end mark.  Every context of up to ``ORDER - 1``
+bytes that the training rows hold counts, so the model grows with the corpus; probabilities are Witten-Bell
+interpolated.  The model is a table of the n-grams of all rows, those of held-out rows with count 0, and their
+log-probabilities, so each position of a text is one lookup.  Up to two bytes of context are settled on the driver
+(2**24 n-grams at most), longer ones in partitions by the three bytes before the symbol, which hold all that
+longer contexts need.
 
 The base needs the count of every word.  Words of at least an N / ``HOT`` share, of which there can be ``HOT``
-at most, go to all executors; the rest is joined by a shuffle.
+at most, and the ``HOT_GRAMS`` most frequent n-grams at most go to all executors; the rest is joined by a shuffle.
 
 Learns from rows whose crc32(doc_id as text) modulo 5 isn't 1 (a null doc_id is learnt from).  Null text is
 empty: one token, the end.  Repeated rows count and are scored one by one.  An empty table gives an empty result.
@@ -17,8 +16,6 @@ empty: one token, the end.  Repeated rows count and are scored one by one.  An e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +25,9 @@ from tessera.llm import kernels as K
 from tessera.llm.common import Workspace, slices
 
 ORDER = 7
-CAPACITY = 1 << 17
 HOT = 1 << 21
-LANE = 512
+HOT_GRAMS = 1 << 22
+PART = 1 << 18  # mean n-grams of a partition of the model
 END = 10
 END_HASH = -0x5E4D3C2B1A09  # the end token's key beside 64-bit word hashes
 
@@ -101,8 +98,20 @@ def stream(buf: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return out, np.concatenate(([0], np.cumsum(lengths)))
 
 
+def grams_of(s: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The ORDER-gram that ends at each byte of a stream: the byte lowest, the one before it next, 0 before the text."""
+    key = s.astype(np.int64)
+    place = np.arange(len(s)) - np.repeat(off[:-1], np.diff(off))
+    for k in range(1, ORDER):
+        prior = np.zeros(len(s), np.int64)
+        prior[k:] = s[:-k]
+        prior[place < k] = np.where(place[place < k] == k - 1, END, 0)  # a text begins after an end
+        key |= prior << (8 * k)
+    return key
+
+
 def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """kind 0: words by hash, kind 1: byte n-grams of ORDER, over all training rows, one row each, written."""
+    """kind 0: words of training rows by hash, kind 1: byte n-grams of ORDER of all rows; n counts training rows. Written."""
 
     def given(kind: int, tally: Tally):
         key, n = tally.flush()
@@ -115,102 +124,111 @@ def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
         words, grams = Tally(), Tally()
         for batch in batches:
             for a, b in slices(batch, "text"):
-                buf, off = K.flat(batch.column("text").slice(a, b - a))
+                part = batch.slice(a, b - a)
+                learnt = ~np.asarray(part.column("held_out"))
+                buf, off = K.flat(part.column("text"))
                 starts, ends, at = K.word_spans(buf, off)
-                words.add(np.array([END_HASH]), np.array([len(off) - 1]))
-                words.add(*distinct(K.span_hash(buf, starts, ends).view(np.int64)))
+                if learnt.any():
+                    own = np.repeat(learnt, np.diff(at))
+                    words.add(np.array([END_HASH]), np.array([learnt.sum()]))
+                    words.add(*distinct(K.span_hash(buf, starts[own], ends[own]).view(np.int64)))
                 s, so = stream(buf, off, starts, ends, at)
-                key = s.astype(np.int64)
-                place = np.arange(len(s)) - np.repeat(so[:-1], np.diff(so))
-                for k in range(1, ORDER):
-                    prior = np.zeros(len(s), np.int64)
-                    prior[k:] = s[:-k]
-                    prior[place < k] = np.where(place[place < k] == k - 1, END, 0)  # a text begins after an end
-                    key |= prior << (8 * k)
-                grams.add(*distinct(key))
+                key = grams_of(s, so)
+                own = np.repeat(learnt, np.diff(so))
+                grams.add(*distinct(key[own]))
+                other = distinct(key[~own])[0]
+                grams.add(other, np.zeros(len(other), np.int64))
                 for kind, tally in ((0, words), (1, grams)):
                     if tally.held() > tally.bound:
                         yield from given(kind, tally)
         yield from given(0, words)
         yield from given(1, grams)
 
-    rows = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "kind int, key long, n long")
+    rows = docs.select(held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "kind int, key long, n long")
     return ws.put(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-@dataclass
-class Automaton:
-    symbol: np.ndarray  # byte -> column
-    arc: np.ndarray  # (states, columns) -> next state, 32-bit
-    logp: np.ndarray  # (states, columns) log10 probability
-    start: int
-
-    def score(self, s: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a stream."""
-        back = ORDER - 1
-        lanes = -(-len(s) // LANE)
-        cols = np.full(lanes * LANE + back, self.symbol[END], np.int32)
-        cols[back : back + len(s)] = self.symbol[s]
-        width = np.int32(self.arc.shape[1])
-        arc, logp = self.arc.ravel(), self.logp.ravel()
-        view = np.lib.stride_tricks.sliding_window_view(cols, LANE + back)[::LANE]
-        state = np.zeros(lanes, np.int32)
-        out = np.empty((lanes, LANE), np.float32)
-        for t in range(LANE + back):
-            at = state * width + view[:, t]
-            if t >= back:
-                out[:, t - back] = logp[at]
-            state = arc[at]
-        return K.segment_sum(out.ravel()[: len(s)].astype(np.float64), off)
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Automaton:
-    """levels[m]: contexts of m bytes, next bytes, counts; contexts are those that became states."""
-    _, sym, n = levels[0]
-    seen = np.unique(sym)
-    symbol = np.full(256, len(seen), np.int64)  # bytes never seen share the last column
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    p0 = np.full(width, 0.5)
-    p0[symbol[sym]] += n
-    p0 /= n.sum() + 0.5 * 256
-    ids, probs, arcs = [np.zeros(1, np.int64)], [p0[None]], [np.zeros((1, width), np.int64)]
-    first = [0, 1]
-    for m, (ctx, sym, n) in enumerate(levels[1:], 1):
-        states, inv = np.unique(ctx, return_inverse=True)
-        c = np.zeros((len(states), width))
-        np.add.at(c, (inv, symbol[sym]), n)
-        kinds = (c > 0).sum(1, keepdims=True)
-        suffix = np.searchsorted(ids[m - 1], states & ((1 << 8 * (m - 1)) - 1))
-        probs.append((c + kinds * probs[m - 1][suffix]) / (c.sum(1, keepdims=True) + kinds))
-        # A state of m bytes is where its first m - 1 bytes lead on its last byte, from every state ending in them.
-        ids.append(states)
-        arcs.append(np.zeros(0, np.int64))
-        first.append(first[-1] + len(states))
-        parent = np.searchsorted(ids[m - 1], states >> 8)
-        arcs[m - 1][parent, symbol[states & 255]] = first[m] + np.arange(len(states))
-        arcs[m] = arcs[m - 1][suffix].copy()
-    arc = np.concatenate(arcs).astype(np.int32)
-    hit = np.flatnonzero(ids[1] == END) if len(ids) > 1 else []
-    return Automaton(symbol, arc, np.log10(np.concatenate(probs)).astype(np.float32), int(first[1] + hit[0]) if len(hit) else 0)
-
-
-def automaton(grams: DataFrame, positions: int, capacity: int = CAPACITY) -> Automaton:
-    """From counts of ORDER-grams over all positions; at most capacity contexts of each length reach the driver."""
-    levels = []
-    for m in range(ORDER):
-        ctx = F.col("key").bitwiseAND(F.lit(((1 << 8 * m) - 1) << 8))
-        rows = grams.select(F.shiftrightunsigned(ctx, 8).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).alias("sym"), "n")
-        if m:  # a context with a missing byte is no context of this length
-            rows = rows.where(F.col("ctx") >= 1 << 8 * (m - 1))
-        arcs = rows.groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-        by = arcs.groupBy("ctx").agg(F.sum("n").alias("of"), F.collect_list(F.struct("sym", "n")).alias("arcs")).where(F.col("of") * capacity >= positions)
-        got = by.select("ctx", F.inline("arcs")).toArrow()
-        levels.append(tuple(np.asarray(got.column(c)).astype(np.int64) for c in ("ctx", "sym", "n")))
-    return build(levels)
-
-
-def score(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFrame:
+def deepened(key: np.ndarray, n: np.ndarray, p: np.ndarray, m: int, least: float) -> np.ndarray:
+    """From the probability of each n-gram's byte after m - 1 bytes that after m; all n-grams of its context are given."""
+    arc, of_key = np.unique(key & ((1 << 8 * (m + 1)) - 1), return_inverse=True)
+    c = np.bincount(of_key, n, len(arc))
+    ctx, of_arc = np.unique(arc >> 8, return_inverse=True)
+    total, kinds = np.bincount(of_arc, c, len(ctx)), np.bincount(of_arc, c > 0, len(ctx))
+    known = (total > 0) & (total >= least)
+    if m:  # a context with a missing byte is no context of this length
+        known &= ctx >= 1 << 8 * (m - 1)
+    of_key, ctx = of_arc[of_key], c[of_key]
+    return np.where(known[of_key], (ctx + kinds[of_key] * p) / np.maximum(1, total[of_key] + kinds[of_key]), p)
+
+
+class Table:
+    """Values by 64-bit key, sorted by buckets of about one key."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = len(key).bit_length() + 1
+        place = self.bucket(key)
+        order = np.argsort(place, kind="stable")
+        self.key, self.value = key[order], value[order]
+        self.first = np.searchsorted(place[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it isn't held."""
+        place = self.bucket(key)
+        at, end = self.first[place], self.first[place + 1]
+        found = np.full(len(key), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.key[at[left]] == key[left]
+            found[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
+
+def modelled(grams: DataFrame, positions: int, ws: Workspace, capacity: int | None) -> DataFrame:
+    """key, n and logp of every n-gram, written; with a capacity only contexts at 1 / capacity of all positions count."""
+    least = positions / capacity if capacity else 0.0
+    low = (1 << 24) - 1
+    got = grams.groupBy(F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # 2**24 rows at most
+    key, n = np.asarray(got.column("key")), np.asarray(got.column("n"))
+    p = (np.bincount(key & 255, n, 256)[key & 255] + 0.5) / (positions + 0.5 * 256)
+    for m in (1, 2):
+        p = deepened(key, n, p, m, least)
+    shared = grams.sparkSession.sparkContext.broadcast((key, p))
+
+    def run(batches):
+        held = [(np.asarray(x.column("key")), np.asarray(x.column("n"))) for x in batches]
+        if not held:
+            return
+        key, n = (np.concatenate(x) for x in zip(*held))
+        short, p = shared.value
+        p = p[np.searchsorted(short, key & low)]
+        for m in range(3, ORDER):
+            p = deepened(key, n, p, m, least)
+        logp = np.log10(p).astype(np.float32)
+        for i in range(0, len(key), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(n[part]), pa.array(logp[part])], ["key", "n", "logp"])
+
+    context = F.shiftrightunsigned(F.col("key"), 8).bitwiseAND(F.lit(low))
+    dealt = grams.select("key", "n").repartition(-(-grams.count() // PART), context)
+    return ws.put(dealt.mapInArrow(run, "key long, n long, logp float"), "model")
+
+
+def frequent_grams(model: DataFrame, positions: int, most: int) -> Table:
+    """The n-grams from the least count on at which no more than most are left."""
+    top = 1 << 16
+    size = sorted(model.groupBy(F.least("n", F.lit(top)).alias("c")).count().collect(), reverse=True)
+    fits = [r["c"] for r, held in zip(size, np.cumsum([r["count"] for r in size])) if held <= most]
+    got = model.where(F.col("n") >= min(fits) if fits else F.col("n") * most >= positions).select("key", "logp").toArrow()  # most rows at most
+    return Table(np.asarray(got.column("key")), np.asarray(got.column("logp")))
+
+
+def score(docs: DataFrame, capacity: int | None = None, hot: int = HOT, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
@@ -219,12 +237,13 @@ def score(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFram
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where(F.col("n") * hot >= total).orderBy("key").toArrow()  # hot rows at most
-    model = automaton(grams, positions, capacity) if positions else None
+    model = modelled(grams, positions, ws, capacity) if positions else None
+    common = frequent_grams(model, positions, hot_grams) if positions else None
     ends = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = spark.sparkContext.broadcast((np.asarray(frequent.column("key")), np.asarray(frequent.column("n")).astype(np.float64), model))
+    shared = spark.sparkContext.broadcast((np.asarray(frequent.column("key")), np.asarray(frequent.column("n")).astype(np.float64), common))
 
     def run(batches):
-        keys, n, machine = shared.value
+        keys, n, common = shared.value
         logs = np.log10(n + 0.5)
         for batch in batches:
             for a, b in slices(batch, "text"):
@@ -240,24 +259,34 @@ def score(docs: DataFrame, capacity: int = CAPACITY, hot: int = HOT) -> DataFram
                 rest = h[~hot_word]
                 tail = np.concatenate(([0], np.cumsum(~hot_word)))[at]
                 s, so = stream(buf, off, starts, stops, at)
-                lm = machine.score(s, so) if machine else np.zeros(len(size))
-                tails = pa.ListArray.from_arrays(pa.array(tail.astype(np.int32)), pa.array(rest))
-                cols = [part.column("doc_id"), part.column("held_out"), pa.array(size + 1), pa.array(sure), pa.array(base), pa.array(lm), tails]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score", "tail"])
+                lm, rare, rares = np.zeros(len(size)), np.zeros(0, np.int64), np.zeros(len(size) + 1, np.int64)
+                if common:
+                    key = grams_of(s, so)
+                    found = common.find(key)
+                    lm = K.segment_sum(np.where(found >= 0, common.value[found] if len(common.key) else 0.0, 0.0).astype(np.float64), so)
+                    rare, rares = key[found < 0], np.concatenate(([0], np.cumsum(found < 0)))[so]
+                tails = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((tail, rest), (rares, rare))]
+                cols = [part.column("doc_id"), part.column("held_out"), pa.array(size + 1), pa.array(sure), pa.array(base), pa.array(lm), *tails]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "hot_score", "tail", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double, tail array<long>")
+    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, hot_score double, tail array<long>, rare array<long>")
     first = ws.put(first.withColumn("row", F.monotonically_increasing_id()), "first")
     tail = first.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
     tail = tail.join(words, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("tail_sum"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known")
     )
     per = float(np.log10(total + 0.5 * (kinds + 1)))
-    out = first.drop("tail").join(tail, "row", "left")
+    out = first.drop("tail", "rare").join(tail, "row", "left")
+    lm = F.col("hot_score")
+    if model:
+        rare = first.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
+        rare = rare.join(model.select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("rare_sum"))
+        out, lm = out.join(rare, "row", "left"), lm + F.coalesce("rare_sum", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * per).alias("base_score"),
-        "score",
+        lm.alias("score"),
     )

@@ -376,6 +376,15 @@ def test_lm_scoring(corpus, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_scoring_keeps_every_context(corpus):
+    texts = [(d, t) for d, t, _ in by_text(corpus)]
+    lm, _ = backoff([t for d, t in texts if d is None or zlib.crc32(str(d).encode()) % 5 != 1], lm_scoring.ORDER, 10**9)
+    want = sorted((repr(d), lm(t)) for d, t in texts)
+    for hot_grams in (50, 1 << 20):  # most n-grams through the join, and few
+        got = sorted((repr(r["doc_id"]), r["score"]) for r in rows_of(lm_scoring.score(corpus, hot_grams=hot_grams)))
+        assert all(g[0] == w[0] and abs(g[1] - w[1]) <= 1e-3 + 1e-5 * abs(w[1]) for g, w in zip(got, want, strict=True))
+
+
 def test_html_blocks():
     page = (
         '<body><header><h1>Site</h1></header><div id="cookie-notice">x</div><article><header><h1>Title</h1><p>by A</p></header><p>Hello &lt; b<sup>2</sup>&nbsp; c<p>two<br>lines <b>bold'
