@@ -1,12 +1,15 @@
 """HTML extraction (op 10): equivalence-class template deduction over the pages of a host.
 
-A page is read once into text blocks, each with its place in the tree; markup that is not article text by its
-own kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is left out.
+A page is read once into text blocks, each with its place in the tree; scripts, styles and comments are left out.
 A block's token is its place and text.  Over all pages of a host the tokens that share an occurrence vector
 (how often on which page) form a class; vectors compare by commutative hashes, so no task ever holds a host.
 A class that occurs on ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages or more, and whose tokens keep
-one order on all of them, is valid and part of the host's template: its slots, what lies between its tokens, are
-the text.  Valid classes nest by the places of their tokens: the larger vector encloses the smaller.
+one order on all of them, is valid.  Two valid classes nest if one lies in a single gap between the other's tokens,
+the same on all pages that have both; of two that don't, the one on fewer pages (then of fewer tokens) is rejected.
+The classes left are the host's template: its slots, what lies between its tokens, hold the text.
+
+A later check by markup drops from the slots what is not article text by its own kind (menus, headers, footers,
+sidebars, notices, adverts, forms) and, where a page has article or main elements, what lies outside them.
 
 Template blocks that make up more than half of a page's text are taken as a copied article and kept.
 Null or empty html gives an empty text, a null url the host ''.  Repeated pages count as pages of their own.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -58,23 +62,29 @@ def marked(attrs: str) -> bool:
 
 def blocks(html: str) -> list[tuple[bool, str, str]]:
     """(inside article or main, place, text) of each block that may be article text, in page order."""
-    out: list[tuple[bool, str, str]] = []
+    return [x[:3] for x in all_blocks(html) if x[3]]
+
+
+def all_blocks(html: str) -> list[tuple[bool, str, str, bool]]:
+    """(inside article or main, place, text, may be article text by its markup) of each block, in page order."""
+    out: list[tuple[bool, str, str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, left out, inside article or main
     text: list[str] = []
+    dark: list[str] = []  # of what is left out
     pos, end = 0, len(html)
 
-    def flush() -> None:
+    def flush(text: list[str], shown: bool) -> None:
         if text:
             if s := " ".join(unescape("".join(text)).split()):
-                out.append((bool(stack) and stack[-1][2], "/".join(x[0] for x in stack if x[0] not in INLINE), s))
+                out.append((bool(stack) and stack[-1][2], "/".join(x[0] for x in stack if x[0] not in INLINE), s, shown))
             text.clear()
 
     while pos < end:
         lt = html.find("<", pos)
         if lt < 0:
             lt = end
-        if lt > pos and not (stack and stack[-1][1]):
-            text.append(html[pos:lt])
+        if lt > pos:
+            (dark if stack and stack[-1][1] else text).append(html[pos:lt])
         if lt == end:
             break
         if html.startswith("<!--", lt):
@@ -92,24 +102,24 @@ def blocks(html: str) -> list[tuple[bool, str, str]]:
                 close = html.find(">", lt)
                 pos = end if close < 0 else close + 1
             else:
-                if not (stack and stack[-1][1]):
-                    text.append("<")
+                (dark if stack and stack[-1][1] else text).append("<")
                 pos = lt + 1
             continue
         pos = m.end()
         shut, name, attrs = m[1], m[2].lower(), m[3]
         if name in INLINE:
             if name in ("br", "img", "wbr"):
-                if name == "br" and not (stack and stack[-1][1]):
-                    text.append(" ")
+                if name == "br":
+                    (dark if stack and stack[-1][1] else text).append(" ")
                 continue
             if not shut and attrs and marked(attrs):
                 stack.append((name, True, bool(stack) and stack[-1][2]))
             elif shut and stack and stack[-1][0] == name:
                 stack.pop()
             continue
+        flush(dark, False)
         if not (stack and stack[-1][1]):
-            flush()
+            flush(text, True)
         if shut:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if at >= 0:
@@ -141,8 +151,9 @@ def blocks(html: str) -> list[tuple[bool, str, str]]:
         elif inside and stack and stack[-1][0] == "header" and name not in HEADINGS:
             own = True
         stack.append((name, out_of or own or name in LEFT_OUT, inside))
+    flush(dark, False)
     if not (stack and stack[-1][1]):
-        flush()
+        flush(text, True)
     return out
 
 
@@ -156,26 +167,38 @@ def host(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
+    """shown marks the tokens whose text and place inside article or main are kept."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, texts, inside, toks, once, times = [], [], [], [], [], []
+        hosts, texts, inside, toks, shown, once, times = [], [], [], [], [], [], []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            found = blocks(html or "")
-            own = [token(p, t) for _, p, t in found]
+            found = all_blocks(html or "")
+            own = [token(p, t) for _, p, t, _ in found]
             kinds, n = np.unique(np.array(own, np.int64), return_counts=True)
             hosts.append(host(url))
-            texts.append([t for _, _, t in found])
-            inside.append([i for i, _, _ in found])
+            texts.append([t for _, _, t, x in found if x])
+            inside.append([i for i, _, _, x in found if x])
             toks.append(own)
+            shown.append([x for *_, x in found])
             once.append(kinds.tolist())
             times.append(n.tolist())
-        arrays = [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.bool_()))]
-        arrays += [pa.array(x, pa.list_(pa.int64())) for x in (toks, once, times)]
-        return pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "texts", "inside", "toks", "once", "times"])
+        arrays = [batch.column("page_id"), batch.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string()))]
+        arrays += [pa.array(x, pa.list_(pa.bool_())) for x in (inside, shown)] + [pa.array(x, pa.list_(pa.int64())) for x in (toks, once, times)]
+        return pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "texts", "inside", "shown", "toks", "once", "times"])
 
-    schema = "page_id long, url string, host string, texts array<string>, inside array<boolean>, toks array<long>, once array<long>, times array<long>"
+    schema = "page_id long, url string, host string, texts array<string>, inside array<boolean>, shown array<boolean>, toks array<long>, once array<long>, times array<long>"
     return mapped(pages.select(F.col("page_id").cast("long"), "url", "html"), ["page_id", "url", "html"], "html", run, schema)
 
 
+def gaps(seq: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the classes of a page's tokens in order: the classes, and the first and last gap [i, j] of class j that class i is in."""
+    kinds, of = np.unique(np.array(seq, np.int64), return_inverse=True)
+    before = np.cumsum(of[:, None] == np.arange(len(kinds)), 0)
+    order = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[order], np.arange(len(kinds)))
+    return kinds, np.minimum.reduceat(before[order], first), np.maximum.reduceat(before[order], first)
+
+
 def templates(read: DataFrame, ws: Workspace, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host and the arrays of template tokens and their classes; at most 1 / min_share times a mean page's blocks."""
     vector = F.xxhash64("page_id", "url", "x.times")
@@ -184,7 +207,7 @@ def templates(read: DataFrame, ws: Workspace, min_pages: int = MIN_PAGES, min_sh
     seen = seen.groupBy("host", "tok").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor("v").alias("v"), F.sum("s").alias("s")).where(F.col("pages") >= min_pages)
     of = ws.put(read.groupBy("host").agg(F.count(F.lit(1)).alias("of")), "hosts")
     some = seen.join(of, "host").where(F.col("pages") >= min_share * F.col("of"))
-    some = some.groupBy("host").agg(F.collect_list("tok").alias("t"), F.collect_list(F.xxhash64("v", "s", "pages")).alias("c"))
+    some = some.groupBy("host").agg(F.collect_list("tok").alias("t"), F.collect_list(F.xxhash64("v", "s", "pages")).alias("c"), F.collect_list("pages").alias("n"))
     some = ws.put(some, "classes")
 
     def order(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,7 +226,49 @@ def templates(read: DataFrame, ws: Workspace, min_pages: int = MIN_PAGES, min_sh
     used = mapped(read.join(some, "host").select("host", "toks", "t", "c"), ["host", "toks", "t", "c"], None, order, "host string, class long, o long")
     # A token that occurs more than once repeats by different amounts, so classes of repeated tokens seldom keep one order.
     valid = used.groupBy("host", "class").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a = b").groupBy("host").agg(F.collect_list("class").alias("valid"))
-    return ws.put(some.join(ws.put(valid, "valid"), "host"), "templates")
+    some = ws.put(some.join(ws.put(valid, "valid"), "host"), "ordered")
+
+    def places(batches):
+        for batch in batches:
+            met: dict[tuple[str, int, int], list[int]] = {}
+            for h, toks, t, c, ok in zip(*(x.to_pylist() for x in batch.columns)):
+                ok = set(ok)
+                of_tok = {x: k for x, k in zip(t, c) if k in ok}
+                seq = [of_tok[x] for x in toks if x in of_tok]
+                if len(set(seq)) < 2:
+                    continue
+                kinds, low, high = gaps(seq)
+                for i, a in enumerate(kinds.tolist()):
+                    for j, b in enumerate(kinds[:i].tolist()):
+                        now = (int(low[i, j]), int(high[i, j]), int(low[j, i]), int(high[j, i]))
+                        was = met.setdefault((h, a, b), list(now))
+                        was[:] = min(was[0], now[0]), max(was[1], now[1]), min(was[2], now[2]), max(was[3], now[3])
+            keys = list(zip(*met)) or [(), (), ()]
+            spans = list(zip(*met.values())) or [()] * 4
+            arrays = [pa.array(keys[0], pa.string()), *(pa.array(x, pa.int64()) for x in (*keys[1:], *spans))]
+            yield pa.RecordBatch.from_arrays(arrays, ["host", "a", "b", "a_low", "a_high", "b_low", "b_high"])
+
+    met = read.select("host", "toks").join(some.where(F.size("valid") > 1), "host").select("host", "toks", "t", "c", "valid")
+    met = met.mapInArrow(places, "host string, a long, b long, a_low long, a_high long, b_low long, b_high long")
+    met = met.groupBy("host", "a", "b").agg(F.min("a_low").alias("a_low"), F.max("a_high").alias("a_high"), F.min("b_low").alias("b_low"), F.max("b_high").alias("b_high"))
+    met = met.where("a_low < a_high and b_low < b_high").groupBy("host").agg(F.collect_list(F.array("a", "b")).alias("crossing"))
+
+    def nested(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        for c, n, ok, crossing in zip(*(batch.column(k).to_pylist() for k in ("c", "n", "valid", "crossing"))):
+            pages, size, foes = dict(zip(c, n)), Counter(c), {}
+            for a, b in crossing or ():
+                foes.setdefault(a, set()).add(b)
+                foes.setdefault(b, set()).add(a)
+            taken: set[int] = set()
+            for k in sorted(ok, key=lambda k: (-pages[k], -size[k], k)):
+                if not taken & foes.get(k, set()):
+                    taken.add(k)
+            kept.append(sorted(taken))
+        return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("t"), batch.column("c"), pa.array(kept, pa.list_(pa.int64()))], ["host", "t", "c", "valid"])
+
+    whole = some.join(ws.put(met, "crossing"), "host", "left")
+    return ws.put(mapped(whole, ["host", "t", "c", "n", "valid", "crossing"], None, nested, "host string, t array<long>, c array<long>, valid array<long>"), "templates")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -214,7 +279,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for texts, inside, toks, t, c, valid in zip(*(batch.column(k).to_pylist() for k in ("texts", "inside", "toks", "t", "c", "valid"))):
+        for texts, inside, shown, toks, t, c, valid in zip(*(batch.column(k).to_pylist() for k in ("texts", "inside", "shown", "toks", "t", "c", "valid"))):
+            toks = [x for x, own in zip(toks, shown) if own]
             main = [i for i, x in enumerate(inside) if x] or range(len(texts))
             ok = set(valid or ())
             fixed = {x for x, k in zip(t or (), c or ()) if k in ok}
@@ -224,5 +290,5 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             out.append("\n".join(kept))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = read.join(known, "host", "left").select("page_id", "url", "texts", "inside", "toks", "t", "c", "valid")
+    joined = read.join(known, "host", "left").select("page_id", "url", "texts", "inside", "shown", "toks", "t", "c", "valid")
     return mapped(joined, joined.columns, None, run, "page_id long, url string, text string, n_chars long")

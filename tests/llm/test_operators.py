@@ -407,3 +407,18 @@ def test_html_templates(spark):
     copies = [(i, f"http://c.example/{i}", "<article><p>one</p><p>two</p></article>") for i in range(8)]
     assert {r["text"] for r in rows_of(html_text.extract(spark.createDataFrame(copies, "page_id long, url string, html string")))} == {"one\ntwo"}
     assert html_text.extract(spark.createDataFrame(copies, "page_id long, url string, html string").limit(0)).count() == 0
+
+
+def test_html_classes_nest(spark):
+    page = lambda i, quote: "<body><nav>menu</nav>" + "".join(f"<p>head {k}</p>" + ("<p>a quote</p>" if quote == k else "") + f"<p>own text {i} {k}, long enough to be most of the page</p>" for k in (1, 2)) + "<p>foot</p></body>"
+    same = [(i, f"http://same.example/{i}", page(i, 1 if i % 3 else 0)) for i in range(12)]  # always in one slot of the template
+    moved = [(20 + i, f"http://moved.example/{i}", page(i, i % 3)) for i in range(12)]  # in one slot or another
+    got = {r["page_id"]: r["text"] for r in rows_of(html_text.extract(spark.createDataFrame(same + moved, "page_id long, url string, html string")))}
+    for i in range(12):
+        own = [f"own text {i} {k}, long enough to be most of the page" for k in (1, 2)]
+        assert got[i].split("\n") == own
+        assert got[20 + i].split("\n") == own[: i % 3 - 1 if i % 3 else 2] + ["a quote"] * (i % 3 > 0) + own[i % 3 - 1 if i % 3 else 2 :]
+
+
+def test_html_reads_left_out_blocks_for_the_template():
+    assert [(t, shown) for _, _, t, shown in html_text.all_blocks("<nav>a<p>b</nav><p>c <span class=ad>x</span>d<footer>e")] == [("a", False), ("b", False), ("x", False), ("c d", True), ("e", False)]
