@@ -82,6 +82,9 @@ GENERATORS = {
     "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,128}={0,2}(?![A-Za-z0-9_+/=-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
+#: What any match of a base pattern or a generator holds: a digit, an @, or the email generator's other forms (re.I takes
+#: the long s and the Kelvin sign for letters).
+BUSY = r"(?i)[0-9@]|\(at\)|\[at\]|\{at\}| at  ?[a-z0-9\x{17F}\x{212A}-]+ ?(?:\(dot\)|\[dot\]| dot |\.) ?[a-z0-9\x{17F}\x{212A}-]"
 #: Context words.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "private_key", "credential")
 PHONE_WORDS = ("tel", "phone", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono")
@@ -234,7 +237,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pc.fill_null(batch.column("text"), "")
-        busy = np.asarray(pc.match_substring_regex(texts, r"[0-9@]|[ )\]]dot[ (\[]|[(\[]dot[)\]]"))
+        busy = np.asarray(pc.match_substring_regex(texts, BUSY))
         n = batch.num_rows
         counts = {k: np.zeros(n, np.int64) for k in BASE}
         shas, spans = [empty] * n, [""] * n

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tessera.llm import decontaminate, html_text, kernels, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, token_output
@@ -329,6 +330,19 @@ def test_pii(spark, corpus, empty):
     assert len(out) == corpus.count() and all(r["redacted"] is not None for r in out) and pii.find(empty).count() == 0
 
 
+def test_pii_skips_no_text_that_a_generator_matches(spark):
+    rng = random.Random(3)
+    ends = ("(at)", "[AT]", "{at}", " at ", " At ", " (at) ", " at  "), ("(dot)", "[dot]", " dot ", " DOT ", ".", " . ", "(DOT) ")
+    texts = ["Please contact jane.doe (at) example.com or bob [at] mail.org soon", "write to BOB (AT) MAIL (DOT) COM now"]
+    texts += [f"mail: {rng.choice(('bob', 'ſue', 'x'))}{a}{rng.choice(('mail', 'K', 'ſ-x'))}{b}com now" for a in ends[0] for b in ends[1]]
+    texts += ["".join(rng.choice(("bob", "at", "dot", " ", " ", ".", "(", ")", "[", "]", "AT", "é")) for _ in range(rng.randint(3, 14))) for _ in range(3000)]
+    busy = pc.match_substring_regex(pa.array(texts), pii.BUSY).to_pylist()
+    assert not [t for t, b in zip(texts, busy) if not b and (pii.proposals(t) or pii.base_spans(t))]
+    assert sum(map(bool, map(pii.proposals, texts))) > 49 and not all(busy)
+    got = {r["doc_id"]: r["spans"] for r in rows_of(pii.find(spark.createDataFrame(list(enumerate(texts[:20])), "doc_id long, text string")))}
+    assert got == {i: pii.joined(pii.added_spans(t, [], pii.trained())) for i, t in enumerate(texts[:20])} and "email" in got[0] + got[1]
+
+
 def backoff(texts, order, capacity):
     """Witten-Bell backoff by dictionaries."""
     streams = [b" ".join(x.encode() for x in words(t)) for t in texts]
