@@ -162,6 +162,19 @@ CATALOGUE: dict[str, Query] = {
         "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY COUNT(*) DESC LIMIT 7", "nation",
         "SELECT c_nationkey AS nation FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, min(c_custkey) LIMIT 7", ordered=True,
     ),
+    "order_asc_nulls_all": _q(
+        "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality", "doc_id quality",
+        "SELECT d.doc_id, quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS LAST, d.doc_id", ordered=True, floats=("quality",),
+    ),
+    "order_desc_nulls_all": _q(
+        "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality DESC", "doc_id quality",
+        "SELECT d.doc_id, quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS FIRST, d.doc_id", ordered=True, floats=("quality",),
+    ),
+    "order_hidden_all": _q("SELECT c_name FROM customer ORDER BY c_acctbal DESC", "c_name", "SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey", ordered=True),
+    "order_by_agg_all": _q(
+        "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY COUNT(*) DESC", "nation",
+        "SELECT c_nationkey AS nation FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, min(c_custkey)", ordered=True,
+    ),
     "topk": _q("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 10", "o_orderkey o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "limit_by_pk": _q("SELECT event_id, event_type FROM events LIMIT 40", "event_id event_type", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 40"),
     "params_bound": _q(

@@ -33,6 +33,13 @@ def test_matches(spark, duck, name):
     assert mine == sorted(want.fetchall(), key=repr)
 
 
+@pytest.mark.parametrize("name", ["order_asc_nulls_all", "order_desc_nulls_all", "order_hidden_all", "order_by_agg_all"])
+def test_whole_tables_are_sorted(spark, duck, name):
+    got = [tuple(r) for r in queries.queries()[name](spark, DATA).collect()]
+    assert got == duck.execute(queries.oracle_sql()[name]).fetchall()
+    assert "nulls" not in name or {None} < {r[1] for r in got}  # the null boundary is crossed
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(queries.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
