@@ -330,6 +330,15 @@ def test_pii(spark, corpus, empty):
     assert len(out) == corpus.count() and all(r["redacted"] is not None for r in out) and pii.find(empty).count() == 0
 
 
+def test_long_secrets_are_proposed():
+    rng = random.Random(9)
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRabcdefghkmnpqr0123456789") for _ in range(700))
+    for n in (16, 128, 129, 700):
+        text = f'token = "{key[:n]}" end'
+        assert ("secret", 9, 9 + n) in pii.proposals(text) and pii.added_spans(text, [], pii.trained()) == [("secret", 9, 9 + n)]
+    assert ("secret", 0, 702) in pii.proposals(key + "==") and not [x for x in pii.proposals(key + "===") if x[0] == "secret"]
+
+
 def test_pii_skips_no_text_that_a_generator_matches(spark):
     rng = random.Random(3)
     ends = ("(at)", "[AT]", "{at}", " at ", " At ", " (at) ", " at  "), ("(dot)", "[dot]", " dot ", " DOT ", ".", " . ", "(DOT) ")
