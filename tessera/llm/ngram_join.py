@@ -231,12 +231,21 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("l").alias("l"), F.max("left").alias("left"), F.min("sum").alias("sum"))
     pairs = ws.put(pairs.where("c >= l AND 7 * left >= 3 * sum").select("a", "b"), "pairs")
     more = verified(pairs, own, ws, "across")
+    # An id with several sets is one node, so it links the classes of all of them.
+    shape = F.struct("s1", "s2", "n_shingles")
+    several = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(shape).alias("x"), F.max(shape).alias("y")).where("x <> y").select("doc_id")
+    several = ws.put(several, "several")
+    held = ws.put(some.join(small(several, 8), "doc_id", "left_semi").join(classes, ["s1", "s2"]).select("doc_id", "rep").distinct(), "held")
+    ends = ws.put(held.groupBy("doc_id").agg(F.min("rep").alias("least")), "ends")
+    ties = ws.put(held.join(small(ends, 16), "doc_id").where("least <> rep").select("least", "rep").distinct(), "ties")
+    more = more.union(ties)
     if more.isEmpty():
         roots = first
     else:
         roots = ws.put(connected(more.union(first.select("node", "root")), ws, "second"), "final")
 
     out = sig.join(small(classes, 40).withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
+    out = out.join(small(ends.withColumnRenamed("doc_id", "id"), 16), F.col("doc_id") == F.col("id"), "left").withColumn("rep", F.coalesce("least", "rep"))
     out = out.join(small(roots, 16), F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
 

@@ -162,6 +162,13 @@ def test_ngram_join_near_the_threshold(spark, seed, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == components(texts)
 
 
+def test_ngram_join_ids_with_several_texts(spark):
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(12))
+    rows = [(1, text(1)), (2, text(2)), (9, text(1)), (9, text(2)), (9, ""), (3, text(3)), (8, text(3)), (8, ""), (4, text(4)), (7, ""), (7, " ")]
+    got = rows_of(ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (7, 7), (7, 7), (8, 3), (8, 3), (9, 1), (9, 1), (9, 1)]
+
+
 def test_line_dedup(corpus, empty):
     texts = [(d, t) for d, t, _ in by_text(corpus)]
     key = lambda line: low(line.strip("\x20\x09\x0a\x0b\x0c\x0d"))
