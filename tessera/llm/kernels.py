@@ -1,7 +1,11 @@
-"""Vectorised kernels over the UTF-8 bytes of many texts at once.
+"""Vectorised kernels over the bytes of many texts at once.
 
-All hashes are 64-bit: a position polynomial over a random byte table, finished by a bit mixer.  Words are
-``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; being ASCII, both rules hold on UTF-8 bytes.
+A span is hashed in pieces of eight bytes: each piece is mixed under a key of its own place, the mixed pieces are
+summed, and the sum is mixed with the length.  Mixing is not linear, so no pattern of symbols cancels out for all
+texts as it would in a polynomial modulo a power of two.  ``k`` picks one of two independent sets of keys; both
+together are a hash of 128 bits.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; being ASCII, both rules hold on UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -11,27 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C13  # 3 modulo 8
 _MULT = np.random.default_rng(20240229).integers(1, 1 << 63, 16, dtype=np.int64).astype(U) | U(1)
-_TABLES = [np.random.default_rng(7 + k).integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1) for k in (0, 1)]
+_SEED = (U(0x243F6A8885A308D3), U(0x13198A2E03707344))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWERED = [t[LOWER] for t in _TABLES]
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept for later calls."""
-    if len(_powers.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            row = np.full(size, base, U)
-            row[0] = 1
-            _powers[key] = np.cumprod(row)
-    return _powers["p"][:n], _powers["q"][:n]
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # masks of the first k bytes of eight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,12 +44,49 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros past the end."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 9,), "<u8", padded, strides=(1,))
+
+
+def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans longer than eight bytes: which they are, and start, length and number of their pieces after the first."""
+    size = ends - starts
+    long = np.flatnonzero(size > 8)
+    more = (size[long] - 1) >> 3
+    of = np.repeat(np.arange(len(long)), more)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more) + 1
+    at = starts[long][of] + 8 * place
+    return long, at, np.minimum(ends[long][of] - at, 8), place
+
+
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0, fold: bool = True) -> np.ndarray:
-    """Hash of each span buf[start:end], A-Z lower-cased if fold; k picks one of two independent tables."""
-    p, q = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum((_LOWERED if fold else _TABLES)[k][buf] * p[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(U) * _MULT[15 - k])
+    """Hash of each span buf[start:end], A-Z lower-cased if fold; k picks one of two independent sets of keys."""
+    wide = eights(LOWER[buf] if fold else buf)
+    size = ends - starts
+    h = mix((wide[starts] & _FIRST[np.minimum(size, 8)]) ^ _SEED[k])
+    long, at, left, place = pieces(starts, ends)
+    if len(long):
+        part = mix((wide[at] & _FIRST[left]) * _MULT[13 - k] ^ mix(place.astype(U) + _SEED[k]))
+        first = np.flatnonzero(place == 1)
+        h[long] += np.add.reduceat(part, first)
+    return mix(h + size.astype(U) * _MULT[15 - k])
+
+
+def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the very bytes of the span whose number stands in other."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    wide = eights(buf)
+    first = wide[starts] & _FIRST[np.minimum(size, 8)]
+    if (first != first[other]).any():
+        return False
+    _, at, left, _ = pieces(starts, ends)
+    shift = np.repeat((starts[other] - starts)[size > 8], ((size - 1) >> 3)[size > 8])
+    return bool(((wide[at] & _FIRST[left]) == (wide[at + shift] & _FIRST[left])).all())
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
