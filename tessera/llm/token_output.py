@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,27 @@ from tessera.llm.common import Workspace, mapped, slices
 END_ID = 2
 PROB = 20
 BLOCK = 1 << 19
-LANES = 2048
+LANES = 512
 CHECK = 128
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIQIIQIII")  # magic, version, ids, lanes, steps between checkpoints, words, checkpoints, crc of arrays, crc of ids
-CACHE = 1_000_000
+CACHE = 64 << 20  # bytes of kept parts and their ids in a worker
+SLICE = 2 << 20
+JOINED = 2000  # parts encoded in one text
 _APART = np.zeros(256, bool)
 _APART[[0x20, 0x0A]] = True
-_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
 class Encoder:
-    """Whole texts to ids.  The tokenizer never joins characters across a space or a line feed, so ids of the
-    parts between them are kept and reused; plain words are encoded many at a time and told apart by the
-    vocabulary's word-end mark, which each has exactly once, or else each alone."""
+    """Whole texts to ids.  The tokenizer never joins characters across a space or a line feed, so each distinct part
+    between them is encoded once and kept, within a bound in bytes.
+
+    Parts are encoded many at a time and told apart again: words, with or without a comma or full stop after them,
+    by the vocabulary's word-end mark, of which each piece has exactly one; others by an added token set between
+    them.  Where that doesn't come out even, each part is encoded alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,59 +63,115 @@ class Encoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.width = 2 if size <= 1 << 16 else 4  # bytes of an id on the way to the files
         self.kind = f"<u{self.width}"
-        self.kept: dict[str, bytes] = {}
-
-    def _alone(self, part: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.kind)
-
-    def _learn(self, parts: set[str]) -> None:
-        plain = [p for p in parts if p.isalpha() and (p.isascii() or unicodedata.is_normalized("NFC", p))]
-        for i in range(0, len(plain), 1000):
-            some = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some) and (not len(cut) or cut[-1] == len(ids)):
-                raw = ids.tobytes()
-                at = 0
-                for p, b in zip(some, (cut * self.width).tolist()):
-                    self.kept[p] = raw[at:b]
-                    at = b
-            else:
-                self.kept.update((p, self._alone(p).tobytes()) for p in some)
-        for p in parts:
-            if p not in self.kept:
-                # A word before one comma or full stop: the two are separate pieces of the pre-tokenizer.
-                stem = p[:-1]
-                if p[-1] in ",." and stem in self.kept and stem.isalpha():
-                    self.kept[p] = self.kept[stem] + self.mark(p[-1])
-                else:
-                    self.kept[p] = self._alone(p).tobytes()
-
-    def mark(self, c: str) -> bytes:
-        if c not in self.kept:
-            self.kept[c] = self._alone(c).tobytes()
-        return self.kept[c]
-
-    def parts(self, parts: list[str]) -> list[bytes]:
-        """Little-endian ids of each part."""
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-        got = list(map(self.kept.get, parts))
-        if None in got:
-            missing = {p for p, ids in zip(parts, got) if ids is None}
-            stems = {p[:-1] for p in missing if p[-1] in ",." and p[:-1].isalpha()} - self.kept.keys()
-            self._learn(stems - missing)
-            self._learn(missing)
-            got = [self.kept[p] if ids is None else ids for p, ids in zip(parts, got)]
-        return got
+        self.between, self.between_id = next(((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if self._divides(t.content, i)), (None, -1))
+        self.forget()
+
+    def _divides(self, token: str, number: int) -> bool:
+        a, b = "don't,", "(x)1"
+        return len(token) > 1 and self._ids(a + token + b) == [*self._ids(a), number, *self._ids(b)]
+
+    def forget(self) -> None:
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.kind)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _together(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self._ids(x) for x in parts]
+        return np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], self.kind)
+
+    def _words(self, text: str, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Sizes and ids of the parts of a text, whose numbers of pieces are given; None if pieces don't come out even."""
+        ids = self._together([text])[0]
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != pieces.sum() or len(last) and last[-1] != len(ids) - 1:
+            return None
+        cut = last[np.cumsum(pieces) - 1] + 1
+        return np.diff(cut, prepend=0), ids
+
+    def _divided(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.between is None or any("<" in x for x in parts):
+            return self._alone(parts)
+        ids = self._together([self.between.join(parts)])[0]
+        cut = np.flatnonzero(ids == self.between_id)
+        if len(cut) != len(parts) - 1:
+            return self._alone(parts)
+        return np.diff(cut, prepend=-1, append=len(ids)) - 1, ids[ids != self.between_id]
+
+    def learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of distinct parts, in their order."""
+        n = len(starts)
+        width = ends - starts + 1  # with a space after each
+        at = np.cumsum(width) - width
+        packed = buf[np.minimum(np.repeat(starts - at, width) + np.arange(width.sum()), len(buf) - 1)]
+        packed[at + width - 1] = 32
+        comma = (packed[at + width - 2] == 44) | (packed[at + width - 2] == 46)
+        odd = np.add.reduceat((~_LETTER[packed]).astype(np.int64), at) - 1 - comma
+        plain = (odd == 0) & (width - 1 > comma)
+        groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # parts, sizes, ids
+
+        def words(of: np.ndarray, text: Callable[[np.ndarray], str], pieces: np.ndarray) -> None:
+            for i in range(0, len(of), JOINED):
+                some = slice(i, i + JOINED)
+                got = self._words(text(of[some]), pieces[some])
+                groups.append((of[some], *(got if got else self._alone(strings(of[some])))))
+
+        def strings(of: np.ndarray) -> list[str]:
+            return [packed[a : a + w - 1].tobytes().decode() for a, w in zip(at[of].tolist(), width[of].tolist())]
+
+        def packed_text(of: np.ndarray) -> str:
+            w = width[of]
+            return packed[np.repeat(at[of] - (np.cumsum(w) - w), w) + np.arange(w.sum())].tobytes().decode("ascii")
+
+        own = np.flatnonzero(plain)
+        words(own, packed_text, 1 + comma[own].astype(np.int64))
+        rest = np.flatnonzero(~plain)
+        texts = dict(zip(rest.tolist(), strings(rest)))
+        stems = {k: x[:-1] if comma[k] else x for k, x in texts.items()}
+        letters = np.array([k for k, x in stems.items() if x.isalpha() and unicodedata.is_normalized("NFC", x)], np.int64)
+        words(letters, lambda of: " ".join([texts[k] for k in of.tolist()]), 1 + comma[letters].astype(np.int64))
+        other = np.setdiff1d(rest, letters)
+        for i in range(0, len(other), JOINED):
+            groups.append((other[i : i + JOINED], *self._divided([texts[k] for k in other[i : i + JOINED].tolist()])))
+        size, begin, total = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for of, sizes, ids in groups:
+            size[of], begin[of] = sizes, total + np.cumsum(sizes) - sizes
+            total += len(ids)
+        pool = np.concatenate([ids for *_, ids in groups]) if groups else np.zeros(0, self.kind)
+        return size, pool[spread(begin, size)]
+
+    def parts(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of distinct parts, given with the ascending first half of their hash."""
+        second = K.span_hash(buf, starts, ends, 1, fold=False)
+        place = np.minimum(np.searchsorted(self.first, first), max(0, len(self.first) - 1))
+        held = (self.first[place] == first) & (self.second[place] == second) if len(self.first) else np.zeros(len(first), bool)
+        new = np.flatnonzero(~held)
+        at, size = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        at[held], size[held] = self.at[place[held]], self.size[place[held]]
+        if len(new):
+            sizes, ids = self.learn(buf, starts[new], ends[new])
+            at[new], size[new] = len(self.pool) + np.cumsum(sizes) - sizes, sizes
+            self.pool = np.concatenate((self.pool, ids))
+            where = np.searchsorted(self.first, first[new])
+            self.first, self.second = np.insert(self.first, where, first[new]), np.insert(self.second, where, second[new])
+            self.at, self.size = np.insert(self.at, where, at[new]), np.insert(self.size, where, sizes)
+        return at, size
 
     def encode(self, col: pa.Array) -> pa.Array:
-        """Little-endian ids of each text of a column, the end id last; nulls are empty texts.
-
-        Each distinct part is looked up once; parts are told apart by hash, length and first bytes.
-        """
+        """Little-endian ids of each text of a column, the end id last; nulls are empty texts."""
+        if 32 * len(self.first) + self.pool.nbytes > CACHE:
+            self.forget()
         buf, off = K.flat(col)
         starts, ends, at = K.word_spans(buf, off, _APART)
+        # A comma or full stop after a letter begins a piece of its own, so it is a part, and the word before it too.
+        cut = (ends - starts > 1) & ((buf[ends - 1] == 44) | (buf[ends - 1] == 46)) & _LETTER[buf[np.maximum(ends - 2, 0)]]
+        where = np.flatnonzero(cut)
+        starts, ends, at = np.insert(starts, where + 1, ends[where] - 1), np.insert(ends - cut, where + 1, ends[where]), at + np.concatenate(([0], np.cumsum(cut)))[at]
         h = K.span_hash(buf, starts, ends, fold=False)
         order = np.argsort(h)
         first = np.ones(len(h), bool)
@@ -115,21 +179,24 @@ class Encoder:
         kind = np.empty(len(h), np.int64)
         kind[order] = np.cumsum(first) - 1
         rep = order[first]
-        wide = np.concatenate((buf, np.zeros(8, np.uint8)))
-        size = ends - starts
-        eight = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))[starts] & _FIRST[np.minimum(size, 8)]
-        if (size != size[rep][kind]).any() or (eight != eight[rep][kind]).any():  # two parts with one hash: every occurrence for itself
-            rep, kind = np.arange(len(h)), np.arange(len(h))
-        raw = buf.tobytes()
-        got = self.parts([raw[a:b].decode() for a, b in zip(starts[rep].tolist(), ends[rep].tolist())])
-        ids = np.frombuffer(b"".join(got), self.kind)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // self.width
-        begin = np.cumsum(size) - size
-        cum = np.concatenate(([0], np.cumsum(size[kind])))
-        source = np.repeat(begin[kind] - cum[:-1], size[kind]) + np.arange(cum[-1])
-        out = np.insert(ids[source], cum[at[1:]], END_ID).astype(self.kind)
-        bounds = (cum[at] + np.arange(len(at))) * self.width
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+        if K.same_bytes(buf, starts, ends, rep[kind]):
+            begin, size = self.parts(buf, starts[rep], ends[rep], h[rep])
+            ids, begin, size = self.pool, begin[kind], size[kind]
+        else:  # two parts with one hash: every occurrence for itself
+            size, ids = self.learn(buf, starts, ends)
+            begin = np.cumsum(size) - size
+        cum = np.concatenate(([0], np.cumsum(size)))
+        bounds = cum[at] + np.arange(len(at))
+        out = np.full(bounds[-1], END_ID, self.kind)
+        inner = np.ones(bounds[-1], bool)
+        inner[bounds[1:] - 1] = False
+        out[inner] = ids[spread(begin, size)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds * self.width, np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of size[0] numbers, then those of the next."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 _encoders: dict[str, Encoder] = {}
@@ -193,38 +260,38 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, check: int = CHECK
 
 
 def decode(data: bytes, table: Table, part: int | None = None) -> np.ndarray:
-    """Ids of a block, or of the part that begins at checkpoint ``part`` (0: the block's start)."""
+    """Ids of a block, all its parts side by side, or of the part alone that begins at checkpoint ``part`` (0: the start)."""
     magic, version, n, lanes, check, n_words, n_marks, crc, crc_ids = HEAD.unpack_from(data)
     body = memoryview(data)[HEAD.size :]
     if magic != b"TANS" or version != 1 or zlib.crc32(body) != crc:
         raise ValueError("damaged block")
-    mark = 8 + 8 * lanes
-    stream = np.frombuffer(body, "<u4", n_words, 8 * lanes + mark * n_marks).astype(np.uint64)
-    if part:
-        at = 8 * lanes + mark * (part - 1)
-        pos, x = struct.unpack_from("<Q", body, at)[0], np.frombuffer(body, "<u8", lanes, at + 8).astype(np.uint64)
-    else:
-        pos, x = 0, np.frombuffer(body, "<u8", lanes).astype(np.uint64)
+    stream = np.frombuffer(body, "<u4", n_words, 8 * lanes + (8 + 8 * lanes) * n_marks).astype(np.uint64)
+    # A row for each part: the stream position (0 for the first), then the states.
+    marks = np.frombuffer(body, "<u8", (1 + lanes) * n_marks, 8 * lanes).reshape(n_marks, 1 + lanes)
+    pos = np.concatenate(([0], marks[:, 0])).astype(np.int64)
+    x = np.concatenate((np.frombuffer(body, "<u8", lanes)[None, :], marks[:, 1:])).astype(np.uint64)
     steps = -(-n // lanes)
-    first = (part or 0) * check
-    last = steps if part is None else min(steps, first + check)
-    out = np.empty(max(0, min(n, last * lanes) - first * lanes), np.uint32)
-    mask, at = np.uint64((1 << PROB) - 1), 0
-    for t in range(first, last):
-        k = min(lanes, n - t * lanes)
-        y = x[:k]
+    first = np.arange(n_marks + 1) * check
+    if part is not None:
+        pos, x, first = pos[part : part + 1], x[part : part + 1], first[part : part + 1]
+    longest = int(min(check, steps - first[0]))
+    out = np.zeros((len(first), longest, lanes), np.uint32)
+    mask = np.uint64((1 << PROB) - 1)
+    for t in range(longest):
+        on = int(np.count_nonzero(first + t < steps))  # the last part may be shorter
+        y = x[:on]
         low = y & mask
         s = table.slot[low]
-        out[at : at + k] = s
-        at += k
+        out[:on, t] = s
         y = table.freq[s] * (y >> np.uint64(PROB)) + low - table.cum[s]
         need = y < LOW
-        m = int(np.count_nonzero(need))
-        if m:
-            y[need] = (y[need] << np.uint64(32)) | stream[pos : pos + m]
-            pos += m
-        x[:k] = y
-    ids = table.ids[out]
+        if first[on - 1] + t == steps - 1:
+            need[on - 1, n - (steps - 1) * lanes :] = False
+        taken = np.cumsum(need, 1)
+        y[need] = (y[need] << np.uint64(32)) | stream[(pos[:on, None] + taken - 1)[need]]
+        pos[:on] += taken[:, -1]
+        x[:on] = y
+    ids = table.ids[out.reshape(-1)[: n - int(first[0]) * lanes]]
     if part is None and zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("a block's ids don't match their checksum")
     return ids
@@ -237,7 +304,7 @@ def tokenise(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), encoder(path).encode(batch.column("text"))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return mapped(rows, ["doc_id", "text"], "text", run, "doc_id long, ids binary", max_bytes=4 << 20)
+    return mapped(rows, ["doc_id", "text"], "text", run, "doc_id long, ids binary", max_bytes=SLICE)
 
 
 def write(tokens: DataFrame, out: str, width: int, block: int = BLOCK, lanes: int = LANES, check: int = CHECK) -> None:
