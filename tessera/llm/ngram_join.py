@@ -9,7 +9,8 @@ prefix shingles before it is verified on the whole sets.
 Only components are asked for, so links that are implied need no verification.  Prefix shingles that are in no
 other prefix bound what two documents can share, which rules out most pairs.  Each list then proposes its members
 to its most central one; last, for lists that still hold several components, every pair across components that
-shares enough and can overlap enough is verified.  No link between different texts is lost, and a group of n near
+shares enough and can overlap enough is verified: a pair that meets inside its own shortest prefix is one row,
+on which the prefixes of both are compared.  No link between different texts is lost, and a group of n near
 copies costs about n verifications, not their square.  Hot shingles' lists are cut into parts of about ``SPLIT``
 documents by the count table before they are sorted.
 
@@ -35,6 +36,7 @@ CHUNK = 1 << 14
 MOST = 4  # largest l
 VERIFY = 8.0  # cost of verifying a candidate, in list entries
 SPLIT = 4096
+SALTS = 4096, 64
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             for a, b in slices(batch, "text"):
                 h, _, _ = K.shingles(batch.column("text").slice(a, b - a), SHINGLE)
                 seen += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        salt = TaskContext.get().partitionId() % 32
+        salt = TaskContext.get().partitionId() % SALTS[0]
         for k, part in enumerate(seen.reshape(-1, CHUNK)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([salt]), pa.array([part.tobytes()], pa.binary())], ["chunk", "salt", "n"])
@@ -72,7 +74,9 @@ def frequencies(docs: DataFrame) -> np.ndarray:
         return pa.table({"chunk": table.column("chunk")[:1], "salt": table.column("salt")[:1], "n": pa.array([total.tobytes()], pa.binary())})
 
     kind = "chunk long, salt long, n binary"
-    parts = docs.select("text").mapInArrow(tally, kind).groupBy("chunk", "salt").applyInArrow(add, kind)
+    parts = docs.select("text").mapInArrow(tally, kind)
+    for salts in SALTS:  # a group of the first level sums a few tasks' counts, one of a later level 64 sums at most
+        parts = parts.withColumn("salt", F.col("salt") % salts).groupBy("chunk", "salt").applyInArrow(add, kind)
     out = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
     for row in parts.groupBy("chunk").applyInArrow(add, kind).collect():  # BUCKETS numbers in all
         out[row["chunk"]] = np.frombuffer(row["n"], np.int64)
@@ -164,6 +168,39 @@ def verified(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> Dat
     return good
 
 
+def enough(met: DataFrame, rows: DataFrame, ws: Workspace) -> DataFrame:
+    """The (a, b) among written pairs that share as many shingles of their own prefixes as their l asks for.
+
+    Each document's prefix is one row, so a pair is one row too, however many shingles it shares.
+    """
+    wanted = ws.put(met.select(F.col("a").alias("wanted")).union(met.select("b")).distinct(), "met-ids")
+    entry = F.struct("token", "left")
+    prefix = rows.join(small(wanted, 16), F.col("id") == F.col("wanted")).groupBy("id", "n", "l", "u").agg(F.array_sort(F.collect_list(entry)).alias("p"))
+    prefix = ws.put(prefix, "prefixes")
+    side = lambda s: prefix.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "l", "u", "p")])
+    both = met.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            n, l, u = ([np.asarray(batch.column(f"{c}{s}")) for s in "ab"] for c in "nlu")
+            off = [np.asarray(batch.column(f"p{s}").offsets) for s in "ab"]
+            token, left = ([np.asarray(batch.column(f"p{s}").values.field(c)) for s in "ab"] for c in ("token", "left"))
+            keep = np.zeros(batch.num_rows, bool)
+            total, least = n[0] + n[1], np.minimum(*l)
+            sized = (4 * np.minimum(*n) >= 3 * np.maximum(*n)) & (7 * np.maximum(*u) >= 3 * total)
+            for i in np.flatnonzero(sized):
+                at = [slice(off[k][i], off[k][i + 1]) for k in (0, 1)]
+                _, x, y = np.intersect1d(token[0][at[0]], token[1][at[1]], assume_unique=True, return_indices=True)
+                rest = np.minimum(left[0][at[0]][x], left[1][at[1]][y])
+                inside = 7 * (rest + least[i] - 1) >= 3 * total[i]
+                # From the first shared shingle on, the shorter rest bounds the overlap.
+                keep[i] = inside.sum() >= least[i] and 7 * rest[inside].max() >= 3 * total[i]
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    columns = ["a", "b", *[f"{c}{s}" for s in "ab" for c in ("n", "l", "u", "p")]]
+    return both.select(*columns).mapInArrow(run, "a long, b long").distinct()
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -224,12 +261,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     soon = 7 * F.least("lefta", "leftb") >= 3 * (F.col("na") + F.col("nb"))
     met = x.join(y, (x["token"] == y["token"]) & once & possible("a", "b") & soon)
     met = ws.put(met.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "met")
-    entry = lambda s: rows.select("token", F.col("id").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("n", "l", "u", "left")])
-    pairs = entry("a").join(small(met, 16), "a").join(entry("b"), ["b", "token"]).where(possible("a", "b"))
-    pairs = pairs.select("a", "b", F.least("lefta", "leftb").alias("left"), (F.col("na") + F.col("nb")).alias("sum"), F.least("la", "lb").alias("l"))
-    # From the first shared shingle on, the shorter rest bounds the overlap.
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("l").alias("l"), F.max("left").alias("left"), F.min("sum").alias("sum"))
-    pairs = ws.put(pairs.where("c >= l AND 7 * left >= 3 * sum").select("a", "b"), "pairs")
+    pairs = ws.put(enough(met, rows, ws), "pairs")
     more = verified(pairs, own, ws, "across")
     # An id with several sets is one node, so it links the classes of all of them.
     shape = F.struct("s1", "s2", "n_shingles")
