@@ -1,17 +1,25 @@
-"""PEP 249 driver.  A connection opens a transaction by itself before its first statement."""
+"""PEP 249 driver.  A connection opens a transaction by itself before its first statement.
+
+Names, globals and the tree of exceptions are fixed by PEP 249.  A query's first ``HELD`` rows are fetched when it
+runs; if there are more, the rest stays on the cluster and comes a partition at a time, and ``rowcount`` is -1, as
+PEP 249 has it for a number that isn't known.
+"""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from tessera import errors
-from tessera.database import Database
+from tessera.database import Database, Result
 from tessera.plans import nodes as n
 from tessera.plans.grammar import parse
 
 apilevel = "2.0"
 threadsafety = 1
 paramstyle = "qmark"
+HELD = 10_000
 
 
 class Warning(Exception):  # noqa: A001
@@ -69,13 +77,18 @@ class Connection:
         self._db = Database(database, **options)
         self._closed = False
 
-    def _run(self, sql: str, params: Sequence):
+    def _run(self, sql: str, params: Sequence) -> tuple[Result, Iterator[list]]:
+        """The result, and rows that are still to come."""
         if self._closed:
-            raise ProgrammingError("connection is closed")
+            raise ProgrammingError("the connection has been closed")
         try:
-            if self._db.current is None and not isinstance(parse(sql, params), (n.Begin, n.Commit, n.Rollback)):
+            statement = parse(sql, params)
+            if self._db.current is None and not isinstance(statement, (n.Begin, n.Commit, n.Rollback)):
                 self._db.execute("BEGIN")
-            return self._db.execute(sql, params)
+            if not isinstance(statement, n.Select) or statement.explain:
+                return self._db.execute(sql, params), iter(())
+            columns, rows = self._db.stream(sql, params)
+            return Result("select", columns, list(islice(rows, HELD))), rows
         except Error:
             raise
         except Exception as e:
@@ -83,7 +96,7 @@ class Connection:
 
     def cursor(self) -> Cursor:
         if self._closed:
-            raise ProgrammingError("connection is closed")
+            raise ProgrammingError("the connection has been closed")
         return Cursor(self)
 
     def execute(self, sql: str, params: Sequence = ()) -> Cursor:
@@ -91,7 +104,7 @@ class Connection:
 
     def _finish(self, word: str) -> None:
         if self._closed:
-            raise ProgrammingError("connection is closed")
+            raise ProgrammingError("the connection has been closed")
         if self._db.current is not None:
             try:
                 self._db.execute(word)
@@ -127,21 +140,21 @@ class Cursor:
         self.connection = connection
         self.description: list[tuple] | None = None
         self.rowcount = -1
-        self._rows: list[tuple] = []
-        self._at = 0
+        self._rows: deque[tuple] = deque()
+        self._later: Iterator[list] = iter(())
         self._closed = False
 
     def _open(self) -> None:
         if self._closed:
-            raise ProgrammingError("cursor is closed")
+            raise ProgrammingError("the cursor has been closed")
 
     def execute(self, sql: str, params: Sequence = ()) -> Cursor:
         self._open()
-        result = self.connection._run(sql, tuple(params))
+        result, self._later = self.connection._run(sql, tuple(params))
         reads = result.kind in ("select", "explain")
         self.description = [(c, *[None] * 6) for c in result.columns] if reads else None
-        self._rows, self._at = [tuple(r) for r in result.rows] if reads else [], 0
-        self.rowcount = len(self._rows) if reads else result.rowcount
+        self._rows = deque(tuple(r) for r in result.rows) if reads else deque()
+        self.rowcount = result.rowcount if not reads else len(self._rows) if len(self._rows) < HELD else -1
         return self
 
     def executemany(self, sql: str, rows: Sequence[Sequence]) -> Cursor:
@@ -153,20 +166,22 @@ class Cursor:
         return self
 
     def fetchone(self) -> tuple | None:
-        return next(iter(self.fetchmany(1)), None)
+        self._open()
+        if not self._rows:
+            try:
+                self._rows.extend(tuple(r) for r in islice(self._later, HELD))
+            except Exception as e:
+                raise _outward(e) from e
+        return self._rows.popleft() if self._rows else None
 
     def fetchmany(self, size: int | None = None) -> list[tuple]:
-        self._open()
-        out = self._rows[self._at : self._at + (self.arraysize if size is None else size)]
-        self._at += len(out)
-        return out
+        return list(islice(self, self.arraysize if size is None else size))
 
     def fetchall(self) -> list[tuple]:
-        return self.fetchmany(len(self._rows))
+        return list(self)
 
     def __iter__(self) -> Iterator[tuple]:
-        while (row := self.fetchone()) is not None:
-            yield row
+        return iter(self.fetchone, None)
 
     def close(self) -> None:
         self._closed = True

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import scenarios
 from tessera.operators.relational import explain, select
 from tessera.plans.grammar import parse
 from tessera.sources.external import ParquetFolder
@@ -204,8 +205,8 @@ SELECT * FROM (VALUES (0, 0, 'Index Seek on orders_pkey (o_orderkey = 5)'), (1,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**CATALOGUE, "explain_paths": explain_paths}
+    return {**CATALOGUE, "explain_paths": explain_paths, **scenarios.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{k: q.sql for k, q in CATALOGUE.items()}, "explain_paths": EXPLAIN_SQL}
+    return {**{k: q.sql for k, q in CATALOGUE.items()}, "explain_paths": EXPLAIN_SQL, **scenarios.ORACLE}

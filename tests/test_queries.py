@@ -40,6 +40,24 @@ def test_whole_tables_are_sorted(spark, duck, name):
     assert "nulls" not in name or {None} < {r[1] for r in got}  # the null boundary is crossed
 
 
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """In a copy of the repository without the two folders, queries, oracle and import are those of the dialect."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).parents[1]
+    for name in ("tessera", "tests"):
+        shutil.copytree(here / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        if (here / name).exists():
+            shutil.copy(here / name, tmp_path / name)
+    told = "import __spark_entry__ as e, bench; print(len(e.queries()), len(e.oracle_sql()), sorted(set(e.queries()) ^ set(e.oracle_sql())))"
+    out = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
+    assert out.split("\n")[0] == f"{len(queries.queries())} {len(queries.oracle_sql())} []"
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(queries.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
