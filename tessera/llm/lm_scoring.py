@@ -56,7 +56,7 @@ class Tally:
     A task gives its counts out and starts anew once ``bound`` distinct keys are held, so its memory is bounded.
     """
 
-    def __init__(self, bound: int = 1 << 20):
+    def __init__(self, bound: int = 1 << 21):
         self.keys, self.counts, self.loose, self.bound = [], [], 0, bound
 
     def add(self, key: np.ndarray, n: np.ndarray) -> None:
@@ -111,14 +111,24 @@ def grams_of(s: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """kind 0: words of training rows by hash, kind 1: byte n-grams of ORDER of all rows; n counts training rows. Written."""
+    """kind 0: words of training rows by hash, kind 1: byte n-grams of ORDER of all rows; n counts training rows. Written.
+
+    A task deals its counts to the shuffle's partitions itself, keys and counts of a partition as one row, so that no
+    engine row is spent on each; a partition then merges sorted runs.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def given(kind: int, tally: Tally):
         key, n = tally.flush()
         tally.keys, tally.counts = [], []
-        for i in range(0, len(key), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(n[part].astype(np.int64))], ["kind", "key", "n"])
+        part = (K.mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")  # keys of a part stay in order
+        key, n, ends = key[order], n[order].astype(np.int64), np.cumsum(np.bincount(part, minlength=parts))
+        for r in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+            own = slice(int(ends[r - 1]) if r else 0, int(ends[r]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([key[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], ["kind", "part", "keys", "n"]
+            )
 
     def run(batches):
         words, grams = Tally(), Tally()
@@ -144,8 +154,12 @@ def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
         yield from given(0, words)
         yield from given(1, grams)
 
-    rows = docs.select(held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "kind int, key long, n long")
-    return ws.put(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    def add(table: pa.Table) -> pa.Table:
+        key, n = merged(*([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)] for c in ("keys", "n")))
+        return pa.table({"kind": pa.array(np.full(len(key), table.column("kind")[0].as_py(), np.int32)), "key": pa.array(key), "n": pa.array(n)})
+
+    rows = docs.select(held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "kind int, part int, keys binary, n binary")
+    return ws.put(rows.groupBy("kind", "part").applyInArrow(add, "kind int, key long, n long"), "counts")
 
 
 def deepened(key: np.ndarray, n: np.ndarray, p: np.ndarray, m: int, least: float) -> np.ndarray:
