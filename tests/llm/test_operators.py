@@ -415,14 +415,121 @@ def test_lm_scoring_keeps_every_context(corpus):
         assert all(g[0] == w[0] and abs(g[1] - w[1]) <= 1e-3 + 1e-5 * abs(w[1]) for g, w in zip(got, want, strict=True))
 
 
+def alone(page):
+    """The text of a page without a template."""
+    x = html_text.Page(page)
+    return html_text.main_text(x.texts, x.token, x.up, x.flags, x.at, set(), None).split("\n")
+
+
 def test_html_blocks():
     page = (
         '<body><header><h1>Site</h1></header><div id="cookie-notice">x</div><article><header><h1>Title</h1><p>by A</p></header><p>Hello &lt; b<sup>2</sup>&nbsp; c<p>two<br>lines <b>bold'
         '</p><ul><li>a<li>b</ul><form>q<input>r</form><script>var t="</p>";</script><!-- c > --><div class="ad">buy</div>tail 3 < 4<section class="comments"><p>boo</section></article><footer>f'
     )
-    assert [t for inside, _, t in html_text.blocks(page) if inside] == ["Title", "Hello < b2 c", "two lines bold", "a", "b", "tail 3 < 4"]
+    assert alone(page) == ["Title", "Hello < b2 c", "two lines bold", "a", "b", "tail 3 < 4"]
+    assert alone('<article><section class="related-work"><p>a</section><p id="share-price-analysis">b<div class="alert">c</div><div class="search-result">d</div></article>') == ["a", "b", "c", "d"]
+    assert alone("<p>c <span class=ad>x</span>d<footer>e") == ["c d"] and alone("<nav><article><p>left open</article>") == ["left open"]
     for odd in ("", "<", "<p", "</", "<p a='", "a < b > c", "<!--", "<!doctype", "<script>", "&amp;&bogus;", "<p " + "x='" * 3000):
-        html_text.blocks(odd)
+        alone(odd)
+
+
+def test_html_is_linear_in_long_pages():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>a" * 100_000, "<div>a</b></p>" * 100_000, "<p>a<span class=ad>q" * 50_000, "<nav>" * 50_000 + "<article>a" * 50_000):
+        assert alone(page)
+    assert time.process_time() - began < 60
+
+
+def plain_extract(pages, min_pages, min_share):
+    """Templates and slots of the pages (host, html) of a few hosts, by definition."""
+    out = []
+    read = [(h, html_text.Page(x)) for h, x in pages]
+    for h, page in read:
+        site = [p for g, p in read if g == h]
+        tokens = {t for p in site for t in p.token}
+        vectors = defaultdict(list)
+        for t in tokens:
+            v = tuple(p.token.count(t) for p in site)
+            on = sum(n > 0 for n in v)
+            if on >= min_pages and on >= min_share * len(site):
+                vectors[v].append(t)
+        valid = []
+        for v, members in vectors.items():
+            runs = {tuple(t for t in p.token if t in members) for p in site}
+            if len(runs - {()}) == 1:
+                valid.append((-sum(n > 0 for n in v), -len(members), members))
+        kept = []
+        for size, many, members in sorted(valid, key=lambda x: x[:2]):
+
+            def crosses(a, b):
+                spans = [set(), set()]
+                for p in site:
+                    for one, other, span in ((a, b, spans[0]), (b, a, spans[1])):
+                        if set(one) & set(p.token) and set(other) & set(p.token):
+                            span |= {sum(x in other for x in p.token[:i]) for i, x in enumerate(p.token) if x in one}
+                return len(spans[0]) > 1 and len(spans[1]) > 1
+
+            if not any(crosses(members, k) for k in kept):
+                kept.append(members)
+        texts = lambda p: {p.token[i] for i in p.at}
+        shown = lambda p, i: not p.flags[i] & html_text.DROPPED
+        fixed = {t for m in kept for t in m if any(t in texts(p) for p in site)}
+        own = lambda p: [(i, s) for i, s in zip(p.at, p.texts) if shown(p, i) and p.token[i] not in fixed]
+
+        def around(p, i):
+            while i >= 0:
+                yield i
+                i = p.up[i]
+
+        total, inside, deep = sum(len(s) for p in site for _, s in own(p)), Counter(), {}
+        for p in site:
+            for i, s in own(p):
+                for j in list(around(p, i))[1:]:
+                    if any(p.token[j] in m for m in kept) and shown(p, j):
+                        inside[bool(p.flags[j] & html_text.ARTICLE), p.token[j]] += len(s)
+                        deep[p.token[j]] = len(list(around(p, j)))
+        articles = [(n, -deep[t], -t, t) for (art, t), n in inside.items() if art and n >= html_text.MOST * total]
+        inner = [(deep[t], n, -t, t) for (_, t), n in inside.items() if n >= html_text.NEARLY * total]
+        slot = max(articles)[-1] if articles else max(inner)[-1] if inner else None
+        for m in kept:
+            weight = sum(len(s) for p in site for i, s in zip(p.at, p.texts) if p.token[i] in m and shown(p, i))
+            rest = sum(len(s) for p in site if set(m) & {p.token[i] for i in p.at if shown(p, i)} for i, s in zip(p.at, p.texts) if shown(p, i) and p.token[i] not in m)
+            if weight > rest:
+                fixed -= set(m)
+        left = own(page)
+        if any(t == slot for t in page.token):
+            left = [(i, s) for i, s in left if any(page.token[j] == slot for j in around(page, i))]
+        elif any(page.flags[i] & html_text.ARTICLE for i, _ in left):
+            left = [(i, s) for i, s in left if page.flags[i] & html_text.ARTICLE]
+        out.append("\n".join(s for _, s in left))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_html_against_definitions(spark, seed):
+    rng = random.Random(seed)
+    word = lambda n: " ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n))
+    pages = []
+    for h in ("x", "y"):
+        wrap, promo, quote = rng.choice(("article", "div", "section")), word(6), word(4)
+        for i in range(rng.randint(5, 9)):
+            body = "".join(f"<p>{i} {k} {word(rng.randint(3, 20))}</p>" + (f"<p>{quote}</p>" if rng.random() < 0.3 else "") for k in range(rng.randint(1, 4)))
+            top = f"<div class=top><p>{promo}</p>{word(rng.randint(0, 2))}</div>" if rng.random() < 0.8 else ""
+            pages.append((h, f"<html><body><nav><a>{word(2)}</a></nav>{top}<{wrap} class=c>{body}<p>Read on</p></{wrap}><footer>{h}</footer></body></html>" if rng.random() < 0.9 else f"<p>{word(9)}"))
+    rows = [(k, f"http://{h}/{k}", x) for k, (h, x) in enumerate(pages)]
+    found = {r["page_id"]: r["text"] for r in rows_of(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), 3, 0.5))}
+    assert [found[k] for k in range(len(pages))] == plain_extract(pages, 3, 0.5)
+
+
+def test_html_template_decides(spark):
+    """Without marks or an article element only the deduced template tells text from the rest."""
+    rng = random.Random(8)
+    page = lambda i: f"<body><div class=a><p>offer {i} {rng.random()}</p></div><div class=b><h1>Head {i}</h1>" + "".join(f"<p>line {i} {k} {'long ' * 30}</p>" for k in range(4)) + "<p>All rights kept</p></div></body>"
+    df = spark.createDataFrame([(i, f"http://s/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    on, off = ({r["page_id"]: r["text"].split("\n") for r in rows_of(html_text.extract(df, min_share=share))} for share in (0.5, 2.0))
+    assert all(len(on[i]) == 5 and on[i][0] == f"Head {i}" for i in range(8)) and all(len(off[i]) == 7 for i in range(8))
 
 
 def test_html_templates(spark):
@@ -450,5 +557,33 @@ def test_html_classes_nest(spark):
         assert got[20 + i].split("\n") == own[: i % 3 - 1 if i % 3 else 2] + ["a quote"] * (i % 3 > 0) + own[i % 3 - 1 if i % 3 else 2 :]
 
 
-def test_html_reads_left_out_blocks_for_the_template():
-    assert [(t, shown) for _, _, t, shown in html_text.all_blocks("<nav>a<p>b</nav><p>c <span class=ad>x</span>d<footer>e")] == [("a", False), ("b", False), ("x", False), ("c d", True), ("e", False)]
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_symbol_patterns_do_not_collide(spark):
+    """The texts on which every polynomial modulo a power of two agrees."""
+    a, b = thue_morse(11)
+    for k in (0, 1):
+        buf, off = kernels.flat(pa.array([a, b]))
+        h = kernels.span_hash(buf, off[:-1], off[1:], k)
+        assert h[0] != h[1]
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in rows_of(line_dedup.op4_line_dedup(docs))] == [0, 0]
+    assert sorted(r["component_id"] for r in rows_of(ngram_join.components(docs))) == [1, 2]
+    buf, off = kernels.flat(pa.array([a, b, a]))
+    assert kernels.same_bytes(buf, off[:-1], off[1:], np.array([0, 1, 0])) and not kernels.same_bytes(buf, off[:-1], off[1:], np.array([0, 0, 0]))
+
+
+def test_tokens_of_words_that_share_a_prefix(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(11)
+    path = P.path("word_bpe_49k.json")
+    texts = [f"prefixed{a} prefixed{b} don't, prefixed{a}. x,", "é, ñ. " * 50, "a<|endoftext|>b, c."]
+    got = token_output.encoder(path).encode(pa.array(texts)).to_pylist()
+    assert [np.frombuffer(x, token_output.encoder(path).kind).tolist() for x in got] == [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
