@@ -1,6 +1,7 @@
 """Benchmark decontamination (op 7): CGK random-walk embedding and bit-sampling LSH, then exact edit verification.
 
-Texts are sequences of words (runs of ASCII letters, digits and non-ASCII bytes, lower-cased).  A document
+Texts are sequences of words (runs of ASCII letters, digits and non-ASCII bytes, lower-cased; characters from U+3000
+to U+DFFF, of scripts that are written without spaces, are words of their own).  A document
 holds an item of n words if some stretch of it is within floor(n / 4) word edits of the item.  Items are grouped
 into size classes.  For each repetition a random walk embeds windows of the class's size, started at every word,
 so that edit distance becomes Hamming distance; ``K`` sampled places of the embedding are the LSH key, and the
@@ -11,14 +12,17 @@ Windows that the q-gram lemma rules out (a match within e edits keeps at least n
 pairs) are not embedded; that loses no match.  Items are a query set given to all executors in blocks of
 ``BLOCK`` items; more items mean more passes.
 
-Items of fewer than ``SHORTEST`` words or without text identify nothing and are skipped.  Null or empty texts
-hold no item; repeated rows are judged one by one; other columns pass through ``scan``.
+Items of fewer than ``SHORTEST`` words allow no edit and are looked up by the hash of the whole sequence, then compared.
+Items without a word or with a null id match nothing; items of one id count as one.  Null or empty texts hold no item;
+repeated rows are judged one by one and very long texts whole; an empty table of either kind gives no match.  Other
+columns pass through ``scan``, whose added column is renamed if it clashes.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
-from tessera.llm.common import free_name, mapped
+from tessera.llm.common import Workspace, free_name, mapped
 
 SHORTEST = 8
 SAMPLED = 2
@@ -54,7 +58,9 @@ def repetitions() -> int:
 def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts (never 0) and the n + 1 offsets of the texts into them."""
     buf, off = K.flat(pc.utf8_lower(col))
-    starts, ends, at = K.word_spans(buf, off, _APART)
+    lead = np.flatnonzero((buf >= 0xE3) & (buf <= 0xED))  # of three bytes each
+    begin = np.concatenate((lead, lead + 3))
+    starts, ends, at = K.word_spans(buf, off, _APART, begin[begin < len(buf)])
     return K.span_hash(buf, starts, ends) | np.uint64(1), at
 
 
@@ -62,6 +68,14 @@ def pairs(w: np.ndarray) -> np.ndarray:
     return K.mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:])
 
 
+def sequences(w: np.ndarray, n: int) -> np.ndarray:
+    """A key of the n words from each word on."""
+    out = np.zeros(len(w) - n + 1, np.uint64)
+    for j in range(n):
+        out = K.mix(out + w[j : j + len(out)])
+    return out
+
+
 def walk(w: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int, places: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """CGK walks over w from each start, none beyond its end: at each wanted place the symbol and how far it stands."""
     out, i, bits, wanted = {}, np.zeros(len(start), np.int64), None, set(places)
@@ -111,6 +125,10 @@ class Index:
         w, at = words(pa.array(texts, pa.string()))
         rows = sorted((int(at[k + 1] - at[k]), k) for k in range(len(ids)) if at[k + 1] - at[k] >= SHORTEST)
         self.ids = ids
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length and key of the sequence
+        self.brief = {k: w[at[k] : at[k + 1]] for k in range(len(ids)) if 0 < at[k + 1] - at[k] < SHORTEST}
+        for k, x in self.brief.items():
+            self.short.setdefault(len(x), {}).setdefault(int(sequences(x, len(x))[0]), []).append(k)
         self.words = {k: w[at[k] : at[k + 1]] for _, k in rows}
         self.kinds = {k: frozenset(x.tolist()) for k, x in self.words.items()}
         self.classes: list[Class] = []
@@ -138,6 +156,22 @@ class Index:
 
     def matches(self, w: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
         """(text, item) of every match found in the texts at the offsets."""
+        return self._exact(w, at) + self._near(w, at)
+
+    def _exact(self, w: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Matches of the items that allow no edit."""
+        out: set[tuple[int, int]] = set()
+        for n, known in self.short.items():
+            if len(w) < n:
+                continue
+            got = sequences(w, n)
+            for p in np.flatnonzero(np.isin(got, np.array(list(known), np.uint64))).tolist():
+                text = int(np.searchsorted(at, p, "right")) - 1
+                if p + n <= at[text + 1]:
+                    out |= {(text, k) for k in known[int(got[p])] if (self.brief[k] == w[p : p + n]).all()}
+        return sorted(out)
+
+    def _near(self, w: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
         if not self.classes or len(w) < 2:
             return []
         two = pairs(w)
@@ -206,15 +240,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     kind = T.StructType(list(docs.schema.fields)).add(added, T.ArrayType(T.LongType()))
     out = docs.withColumn(added, F.array().cast("array<long>"))
     chosen = benchmark.where(F.col(item_text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col(item_text)).orderBy(item, item_text)
-    part: list = []
-    blocks: list[list] = []
-    for row in chosen.toLocalIterator():
-        part.append(row)
-        if len(part) == block:
-            blocks.append(part)
-            part = []
-    for rows in [*blocks, part] if part else blocks:
-        index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+    ws, rows, before = Workspace(docs.sparkSession, "leaks"), chosen.toLocalIterator(), None
+    for k, part in enumerate(iter(lambda: list(islice(rows, block)), [])):
+        if before is not None:  # one block at a time: its matches are written before the next is built
+            out = ws.put(out, f"block-{k}")
+            before.unpersist()
+            if k > 1:
+                ws.drop(f"block-{k - 1}")
+        index = before = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in part], [r[1] for r in part]))
 
         def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             known = index.value

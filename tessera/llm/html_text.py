@@ -403,6 +403,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     ws = Workspace(pages.sparkSession, "html")
     read = ws.put(parsed(pages), "blocks")
     known = slots(read, templates(read, ws, min_pages, min_share), ws)
+    ws.only("blocks", "slots")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

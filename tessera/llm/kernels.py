@@ -89,13 +89,19 @@ def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.
     return bool(((wide[at] & _FIRST[left]) == (wide[at + shift] & _FIRST[left])).all())
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all texts, and the n + 1 offsets of the texts into them; apart: bytes between words."""
+def word_spans(buf: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and the n + 1 offsets of the texts into them.
+
+    apart: bytes between words; begin: places at which a word begins even if nothing stands before it.
+    """
     inner = ~apart[buf]
     first = inner.copy()
     first[1:] &= ~inner[:-1]
     last = inner.copy()
     last[:-1] &= ~inner[1:]
+    if begin is not None:
+        first[begin] |= inner[begin]
+        last[begin[begin > 0] - 1] |= inner[begin[begin > 0] - 1]
     cut = off[(off > 0) & (off < len(buf))]
     first[cut] |= inner[cut]
     last[cut - 1] |= inner[cut - 1]

@@ -5,7 +5,9 @@ hash.  Keys of ``min_chars`` code points or more that ``threshold`` documents or
 documents but the smallest doc_id holding them.
 
 Null or empty text is one empty line.  A row whose doc_id is null neither counts as a document nor loses a line.
-Rows that share a doc_id are one document for counting and are each filtered alike.  Other columns pass through.
+Rows that share a doc_id are one document for counting and are each filtered alike, so no ties arise between them.
+Very long texts are split whole; a key may be as long as its text.  An empty table gives an empty result.  Other
+columns pass through; added ones are renamed if their names clash.
 """
 
 from __future__ import annotations
@@ -76,7 +78,9 @@ def dropped_keys(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str
     # Written, so that both sides of the join are plain exchanges and a hot line's rows can be split.
     common = ws.put(common.select("h1", "h2", "first"), "common")
     lost = keys.join(common, ["h1", "h2"]).where(F.col("doc_id") != F.col("first"))
-    return ws.put(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")), "lost")
+    lost = ws.put(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("lost")), "lost")
+    ws.only("lost")
+    return lost
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, threshold: int = THRESHOLD, name: str = "lines") -> DataFrame:

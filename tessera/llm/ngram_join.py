@@ -276,6 +276,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     else:
         roots = ws.put(connected(more.union(first.select("node", "root")), ws, "second"), "final")
 
+    ws.only("sig", "classes", "ends", "roots", "final")
     out = sig.join(small(classes, 40).withColumnsRenamed({"s1": "t1", "s2": "t2"}), (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     out = out.join(small(ends.withColumnRenamed("doc_id", "id"), 16), F.col("doc_id") == F.col("id"), "left").withColumn("rep", F.coalesce("least", "rep"))
     out = out.join(small(roots, 16), F.col("rep") == F.col("node"), "left")

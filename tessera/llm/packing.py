@@ -1,35 +1,38 @@
 """Packing (op 5): optimal length buckets over the global histogram, token-budget batches inside each bucket.
 
-Lengths are whole-corpus counts of words plus one end mark.  A dynamic programme over the exact histogram of
+A length is the number of the tokenizer's ids of the whole text, the end id included.  A dynamic programme over the exact histogram of
 lengths picks at most ``n_buckets`` boundaries that minimise padding, each document being padded to its
 bucket's boundary.  A bucket of boundary L holds batches of max(1, budget // L) documents in order of
 (length, doc_id); no document is cut or dropped, one longer than the budget is a batch of its own.
 
 Null and empty texts have length 1 (the end mark).  Null doc_ids sort first; ties and repeated rows each get a
-place of their own.  An empty table gives an empty result.  Other columns are not read.
+place of their own.  Very long texts are counted whole.  An empty table gives an empty result.  Other columns are not
+read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import kernels as K
+from tessera.llm import token_output
 from tessera.llm.common import Workspace, mapped
 
 BUCKETS = 12
 TOKEN_BUDGET = 16384
 
 
-def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and length of each row."""
+def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id and length of each row, by the tokenizer file at the path."""
+    path = path or token_output.vocabulary()
 
     def run(batch):
-        buf, off = K.flat(batch.column("text"))
-        _, _, at = K.word_spans(buf, off)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at) + 1)], ["doc_id", "length"])
+        known = token_output.encoder(path)
+        size = pc.divide(pc.binary_length(known.encode(batch.column("text"))), known.width)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), size.cast(pa.int64())], ["doc_id", "length"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return mapped(rows, ["doc_id", "text"], "text", run, "doc_id long, length long")
@@ -78,11 +81,11 @@ def boundaries(length: np.ndarray, count: np.ndarray, n_buckets: int) -> list[in
     return sorted(set(out))
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, path: str | None = None) -> DataFrame:
     """doc_id, length, bucket_length, batch (from 0 in each bucket), slot (from 0 in each batch)."""
     ws = Workspace(docs.sparkSession, "packing")
-    sized = ws.put(lengths(docs, key, text), "lengths")
-    # One row for each distinct length: D of them take D * (D + 1) / 2 words of corpus at least.
+    sized = ws.put(lengths(docs, key, text, path), "lengths")
+    # One row for each distinct length: D of them take D * (D + 1) / 2 ids of corpus at least.
     histogram = sorted((r["length"], r["count"]) for r in sized.groupBy("length").count().collect())
     ends = boundaries(np.array([x for x, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64), n_buckets)
     if not ends:
@@ -108,6 +111,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", n_buckets: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(of), part, np.int64)), pa.array(place)], [*batch.schema.names, "part", "place"])
 
     ranked = ws.put(ordered.mapInArrow(rank, "doc_id long, length long, bucket_length long, part long, place long"), "ranked")
+    ws.only("ranked")
     shifts, total = [], {}
     for r in sorted(ranked.groupBy("part", "bucket_length").count().collect()):  # at most partitions + buckets rows
         shifts.append((r["part"], r["bucket_length"], total.get(r["bucket_length"], 0)))

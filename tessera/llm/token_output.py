@@ -208,6 +208,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def vocabulary() -> str:
+    """Path of the tokenizer file that is used unless another is named."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def quantised(count: np.ndarray) -> np.ndarray:
     """Frequencies of 1 or more that sum to 2**PROB, near in proportion to the counts."""
     total = 1 << PROB
@@ -394,10 +401,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write the ids of all documents and read them back: doc_id, start, n_tokens, ids_crc32."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
+    path = path or vocabulary()
     ws = Workspace(docs.sparkSession, "tokens")
     tokens = ws.put(tokenise(docs, path), "tokens")
     write(tokens, f"{ws.root}/file", encoder(path).width)

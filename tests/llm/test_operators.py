@@ -77,6 +77,45 @@ def test_em_never_lowers_the_likelihood():
         language_id.ROUNDS = rounds
 
 
+def plain_mixture(model, text):
+    """Proportions by loops: trigrams of the folded text, expectation maximisation, one language more while it pays."""
+    b = [32, *[c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()], 32]
+    grams = Counter(b[i] << 16 | b[i + 1] << 8 | b[i + 2] for i in range(len(b) - 2) if not (b[i + 1] == 32 and 32 in (b[i], b[i + 2])))
+    row = {int(g): i for i, g in enumerate(model.grams)}
+    p = {g: model.p[row.get(g, len(model.grams))] for g in grams}
+    total = sum(grams.values())
+
+    def fitted(some):
+        pi = {j: 1 / len(some) for j in some}
+        for _ in range(language_id.ROUNDS):
+            new = dict.fromkeys(some, 0.0)
+            for g, n in grams.items():
+                whole = sum(pi[j] * p[g][j] for j in some)
+                for j in some:
+                    new[j] += n * pi[j] * p[g][j] / whole
+            pi = {j: x / total for j, x in new.items()}
+        return pi, sum(n * math.log(sum(pi[j] * p[g][j] for j in some)) for g, n in grams.items())
+
+    langs = range(len(model.languages))
+    pi, level = max((fitted([j]) for j in langs), key=lambda x: x[1])
+    while len(pi) < len(langs):
+        more, ll = max((fitted([*pi, j]) for j in langs if j not in pi), key=lambda x: x[1])
+        if ll - level <= language_id.PENALTY * math.log(max(total, 2)):
+            break
+        pi, level = more, ll
+    return pi
+
+
+def test_language_mixtures_against_loops(corpus):
+    model = language_id.learn(corpus)
+    texts = [t for _, t, _ in by_text(corpus) if t and len(t) < 900 and any(c.isalpha() for c in t)][::6]
+    texts += [texts[k] + " " + texts[k + 1] + " " + texts[k + 2] for k in range(0, 9, 2)]
+    got, _ = language_id.infer(model, pa.array(texts))
+    for pi, t in zip(got, texts):
+        want = plain_mixture(model, t)
+        assert all(abs(pi[j] - want.get(j, 0.0)) < 1e-6 for j in range(len(pi))), t[:60]
+
+
 TOKENS = ["<|endoftext|>x a<|startoftext|>", "it's we'll 12,34 a,b. .. ,", "İstanbul DŽ ﬁ q́w", "क़ खि", "don't,", "THE the The,"]
 
 
@@ -206,21 +245,35 @@ def test_boundaries_are_optimal():
             assert len(got) <= n and padding(lengths, got) == best
 
 
-def test_packing(corpus, empty):
-    got = rows_of(packing.pack(corpus, n_buckets=4, budget=64))
-    assert Counter((r["doc_id"], r["length"]) for r in got) == Counter((d, len(words(t)) + 1) for d, t, _ in by_text(corpus))
-    batches = defaultdict(list)
-    for r in got:
-        assert r["length"] <= r["bucket_length"]
-        batches[r["bucket_length"], r["batch"]].append(r["slot"])
-    assert len({b for b, _ in batches}) <= 4
-    for (length, batch), slots in batches.items():
-        per = max(1, 64 // length)
-        assert sorted(slots) == list(range(len(slots))) and len(slots) <= per
-        assert len(slots) == per or (length, batch + 1) not in batches
+@pytest.mark.parametrize("buckets,budget", [(4, 64), (1, 5), (9, 4000)])
+def test_packing(corpus, empty, buckets, budget):
+    """The whole operator against sorting and counting on the driver, token lengths included."""
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(token_output.vocabulary())
+    size = lambda t: len(reference.encode(t or "", add_special_tokens=False).ids) + 1
+    sized = sorted(((size(t), d is not None, d or 0) for d, t, _ in by_text(corpus)))
+    kinds = sorted(Counter(n for n, *_ in sized).items())
+    ends = packing.boundaries(np.array([k for k, _ in kinds]), np.array([c for _, c in kinds]), buckets)
+    want, seen = Counter(), Counter()
+    for n, some, d in sized:
+        end = min(e for e in ends if e >= n)
+        per = max(1, budget // end)
+        want[d if some else None, n, end, seen[end] // per, seen[end] % per] += 1
+        seen[end] += 1
+    got = rows_of(packing.pack(corpus, n_buckets=buckets, budget=budget))
+    assert Counter((r["doc_id"], r["length"], r["bucket_length"], r["batch"], r["slot"]) for r in got) == want
     assert packing.pack(empty).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    """Items of a few words match as they stand only; characters of scripts without spaces are words."""
+    bench = [(1, "Call me, Ishmael"), (2, "yes"), (3, "吾輩は猫である。名前はまだ無い"), (4, "call me"), (5, "!!"), (2, "yes")]
+    texts = [(1, "They CALL ME ishmael."), (2, "call my Ishmael yesterday"), (3, "x 吾輩は猫である、名前はまた無い y"), (4, "吾輩は犬だ"), (5, "call"), (6, "me call - me yes"), (7, None), (8, "")]
+    got = rows_of(decontaminate.report(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")))
+    assert {r["doc_id"]: r["item_ids"] for r in got} == {1: "1,4", 2: "", 3: "3", 4: "", 5: "", 6: "2,4", 7: "", 8: ""}
+
+
 def test_quality_rules(corpus, empty, spark):
     extra = spark.createDataFrame([(800, "a b c d e f " * 9), (801, "w " * 12), (802, "## $$ %% && " * 8), (803, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)))], "doc_id long, text string")
     docs = corpus.unionByName(extra, allowMissingColumns=True)

@@ -30,6 +30,16 @@ def test_stages_on_hard_rows(spark, corpus):
     assert sorted(r.doc_id or -1 for r in last.collect()) == sorted(k or -1 for k in kept)
 
 
+def test_near_duplicates_keep_one_row_of_a_document(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1), "b", {"k": 1}), (1, text(2), "a", {"k": 2}), (1, text(1), "a", None), (2, text(1), "z", None), (3, text(3), None, None), (None, text(3), "q", None), (None, "", "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra map<string,int>")
+    for parts in (1, 4):
+        got = {(r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), DATA).collect()}
+        assert got == {(1, text(1), "a"), (3, text(3), None), (None, text(3), "q"), (None, "", "q")}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), DATA).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_run(spark):
     ids = [r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()]
