@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next
 stage's docs.  All but the last return the columns of ``documents``; nothing is sampled or cut.
+
+Every stage takes any rows: null or empty texts go at the first stage, being in no language that can be told, as do
+rows without a letter; very long texts are handled whole; extra columns pass through up to the last stage; an empty
+table gives an empty result.  Ties between near duplicates go to the smallest doc_id, between rows of one doc_id to the
+one that comes first as JSON.
 """
 
 from __future__ import annotations
@@ -30,14 +35,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays, in one row; rows without a doc_id stay."""
+    """Of each group of near duplicates the smallest doc_id stays, in one row; rows without a doc_id all stay."""
     ws = Workspace(spark, "near")
     gone = ngram_join.components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = ws.put(gone, "gone")
     again = ws.put(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "again")
     kept = docs.join(small(gone, 16), docs["doc_id"] == F.col("_gone"), "left_anti")
     once = kept.join(small(again, 16), kept["doc_id"] == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(small(again, 16), kept["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = kept.join(small(again, 16), kept["doc_id"] == F.col("_again"), "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+    return once.unionByName(first.select("_row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
