@@ -7,7 +7,9 @@ its context, isotonic calibration turns scores into probabilities and each kind
 ``PRECISION`` on held-out cases.  Accepted spans that touch a base span or a better one are left out.
 
 The trees learn from ``TRAIN_CASES`` generated cases, since no table labels spans; the corpus isn't sampled.
-Null text is empty; repeated rows are handled one by one; offsets are code points, ends exclusive.
+Null text is empty; repeated rows are handled one by one and very long texts whole; offsets are code points, ends
+exclusive.  Of spans with one probability the first, then the longest, wins.  An empty table gives an empty result.
+Columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -76,15 +78,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: High-recall generators; every repetition is bounded or, from the start of its run on, possessive, so each is linear in the text.
 GENERATORS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\(at\)|\[at\]|\{at\}|[\x20]at[\x20]|@)[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\(dot\)|\[dot\]|[\x20]dot[\x20]|\.)[\x20]?[A-Za-z0-9-]{1,63}){1,4}", re.I),
+    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}[\x20]?(?:\(at\)|\[at\]|\{at\}|[\x20]at[\x20]|@)[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\(dot\)|\[dot\]|\{dot\}|[\x20]dot[\x20]|\.)[\x20]?[A-Za-z0-9-]{1,63}){1,4}", re.I),
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{2,4}(?:[\x20./-][0-9]{2,4}){1,3}(?![0-9])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
-#: What any match of a base pattern or a generator holds: a digit, an @, or the email generator's other forms (re.I takes
-#: the long s and the Kelvin sign for letters).
-BUSY = r"(?i)[0-9@]|\(at\)|\[at\]|\{at\}| at  ?[a-z0-9\x{17F}\x{212A}-]+ ?(?:\(dot\)|\[dot\]| dot |\.) ?[a-z0-9\x{17F}\x{212A}-]"
+#: What any match of a base pattern or a generator holds: a digit, an @, a run as long as a secret, or the email generator's
+#: other forms (re.I takes the long s and the Kelvin sign for letters).
+BUSY = r"(?i)[0-9@]|[a-z_+/-]{16}|\(at\)|\[at\]|\{at\}| at  ?[a-z0-9\x{17F}\x{212A}-]+ ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[a-z0-9\x{17F}\x{212A}-]"
 #: Context words.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "private_key", "credential")
 PHONE_WORDS = ("tel", "phone", "call", "mobile", "fax", "cell", "telefon", "téléphone", "teléfono")
@@ -99,13 +101,21 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def keylike(text: str, at: int, s: str) -> bool:
+    """Letters with digits or of mixed case, or letters that are given to a name; not plain words and plain numbers."""
+    inner = s[1:]
+    if not any(c.isalpha() for c in s):
+        return False
+    return any("0" <= c <= "9" for c in s) or inner != inner.lower() and inner != inner.upper() or text[max(0, at - 4) : at].rstrip(" '\"")[-1:] in ("=", ":")
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     out = []
     for kind, rule in GENERATORS.items():
         for m in rule.finditer(text):
             s = m.group()
-            if kind == "secret" and not (any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)):
-                continue  # plain words and plain numbers
+            if kind == "secret" and not keylike(text, m.start(), s):
+                continue
             if kind == "email" and not re.search(r"[\x20(\[{](?:at|dot)[\x20)\]}]|[\x20]@|@[\x20]", s, re.I):
                 continue  # the base pattern's own
             out.append((kind, *m.span()))
@@ -157,12 +167,16 @@ def _case(r: random.Random) -> tuple[str, str, str, int]:
         s, cue = " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if r.random() < 0.5 else s, of(ID_WORDS) if r.random() < 0.5 else of(NOT_WORDS) if not good else ""
     elif kind == "secret":
         s = key(r.choice((19, 23, 31, 39, 63)))
+        letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz" if shape else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(r.choice((16, 20, 28)))) if (shape := r.choice((None, None, 0, 1))) is not None else ""
         if good:
+            s = letters or s
             cue = of(SECRET_WORDS) + r.choice((" = \"", "=\"", ": ", "=", " = '", ": \""))
             lead = f"{lead} {cue}{s}" + (cue[-1] if cue[-1] in "'\"" else "")
             return kind, lead, s, 1
         cue = of(NOT_WORDS) + r.choice((" ", ": ", " ")) if r.random() < 0.6 else ""
-        if r.random() < 0.4:
+        if letters:
+            s, cue = (letters, cue) if r.random() < 0.5 else ("".join(w() for _ in range(9)), f"{w()}: ")
+        elif r.random() < 0.4:
             s = f"{w()}-{w()}{w()}-{w()}{w()}-{d(r.randint(1, 4))}"
     else:
         s = f"{d(3)}-{d(2)}-{d(4)}"
