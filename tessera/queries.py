@@ -151,28 +151,15 @@ CATALOGUE: dict[str, Query] = {
         "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment HAVING MAX(c_acctbal) > 9000", "segment", "SELECT c_mktsegment AS segment FROM customer GROUP BY c_mktsegment HAVING max(c_acctbal) > 9000"
     ),
     "order_asc_nulls": _q(
-        "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality LIMIT 500", "doc_id quality",
-        "SELECT d.doc_id, quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS LAST, d.doc_id LIMIT 500", ordered=True, floats=("quality",),
-    ),
-    "order_desc_nulls": _q(
-        "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality DESC LIMIT 700", "doc_id quality",
-        "SELECT d.doc_id, quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS FIRST, d.doc_id LIMIT 700", ordered=True, floats=("quality",),
-    ),
-    "order_hidden": _q("SELECT c_name FROM customer ORDER BY c_acctbal DESC LIMIT 25", "c_name", "SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 25"),
-    "order_by_agg": _q(
-        "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY COUNT(*) DESC LIMIT 7", "nation",
-        "SELECT c_nationkey AS nation FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, min(c_custkey) LIMIT 7", ordered=True,
-    ),
-    "order_asc_nulls_all": _q(
         "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality", "doc_id quality",
         "SELECT d.doc_id, quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality ASC NULLS LAST, d.doc_id", ordered=True, floats=("quality",),
     ),
-    "order_desc_nulls_all": _q(
+    "order_desc_nulls": _q(
         "SELECT documents.doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id ORDER BY quality DESC", "doc_id quality",
         "SELECT d.doc_id, quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS FIRST, d.doc_id", ordered=True, floats=("quality",),
     ),
-    "order_hidden_all": _q("SELECT c_name FROM customer ORDER BY c_acctbal DESC", "c_name", "SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey", ordered=True),
-    "order_by_agg_all": _q(
+    "order_hidden": _q("SELECT c_name FROM customer ORDER BY c_acctbal DESC", "c_name", "SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey", ordered=True),
+    "order_by_agg": _q(
         "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY COUNT(*) DESC", "nation",
         "SELECT c_nationkey AS nation FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, min(c_custkey)", ordered=True,
     ),
