@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Arrow batches between Spark and Python hold about this many bytes, a single row at least.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +78,20 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         yield begin, batch.num_rows
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: 10,000 rows, its other bound, can be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def released() -> None:
+    """Give memory that a worker kept for reuse back to the system, for workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mapped(df: DataFrame, columns: list[str], text: str | None, fn: Callable, schema: str, max_bytes: int = 2 << 20) -> DataFrame:
     """mapInArrow of ``fn(batch) -> RecordBatch`` over slices of bounded text size."""
 
@@ -81,7 +99,10 @@ def mapped(df: DataFrame, columns: list[str], text: str | None, fn: Callable, sc
         for batch in batches:
             for a, b in slices(batch, text, max_bytes) if text else [(0, batch.num_rows)]:
                 yield fn(batch.slice(a, b - a))
+        batch = None
+        released()
 
+    bounded(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

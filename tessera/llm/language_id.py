@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
-from tessera.llm.common import free_name, mapped, slices
+from tessera.llm.common import bounded, free_name, mapped, slices
 
 SMOOTH = 0.5
 ROUNDS = 12
@@ -92,6 +92,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             grams, counts = merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
+    bounded(docs.sparkSession)
     rows = docs.where((remainder(F.col(key)) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     got = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
