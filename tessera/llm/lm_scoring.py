@@ -1,32 +1,43 @@
-"""Language-model scoring (op 9): an interpolated byte model of every counted context, and an exact word-unigram base.
+"""Language-model scoring (op 9): a weighted backoff automaton of every counted context, and an exact word-unigram base.
 
 The text is its words joined by one space, A-Z lower-cased, then an end mark.  Every context of up to ``ORDER - 1``
 bytes that the training rows hold counts, so the model grows with the corpus; probabilities are Witten-Bell
-interpolated.  The model is a table of the n-grams of all rows, those of held-out rows with count 0, and their
-log-probabilities, so each position of a text is one lookup.  Up to two bytes of context are settled on the driver
-(2**24 n-grams at most), longer ones in partitions by the three bytes before the symbol, which hold all that
-longer contexts need.
+interpolated, which is backing off: a byte seen after a context has its own probability there, any other that of
+the context's ending times the context's weight of failure.
+
+Contexts are the states of an ``Automaton`` with failure arcs, which reads each text once from left to right.  The most
+frequent contexts, with ``HOT_GRAMS`` arcs at most, are on all executors; at a byte where a longer context than the
+state's could be counted, the byte's n-gram is joined with the written model of all contexts instead, so none is
+dropped.  That model has the n-grams of all rows, those of held-out rows with their backed-off probability.  Up to
+two bytes of context are settled on the driver (2**24 n-grams at most), longer ones in partitions by the three bytes
+before the symbol, which hold all that longer contexts need.
 
 The base needs the count of every word.  Words of at least an N / ``HOT`` share, of which there can be ``HOT``
-at most, and the ``HOT_GRAMS`` most frequent n-grams at most go to all executors; the rest is joined by a shuffle.
+at most, go to all executors; the rest is joined by a shuffle.
 
 Learns from rows whose crc32(doc_id as text) modulo 5 isn't 1 (a null doc_id is learnt from).  Null text is
-empty: one token, the end.  Repeated rows count and are scored one by one.  An empty table gives an empty result.
+empty: one token, the end.  Repeated rows count and are scored one by one.  Very long texts are read in lanes.  Equal
+counts leave nothing to choose: contexts of one count are all states or none.  Other columns are not read.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.common import Workspace, slices
+from tessera.llm.common import Workspace, bounded, slices
 
 ORDER = 7
 HOT = 1 << 21
 HOT_GRAMS = 1 << 22
+LANE = 512  # bytes that one lane reads of a long text
 PART = 1 << 18  # mean n-grams of a partition of the model
 END = 10
 END_HASH = -0x5E4D3C2B1A09  # the end token's key beside 64-bit word hashes
@@ -162,28 +173,34 @@ def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
     return ws.put(rows.groupBy("kind", "part").applyInArrow(add, "kind int, key long, n long"), "counts")
 
 
-def deepened(key: np.ndarray, n: np.ndarray, p: np.ndarray, m: int, least: float) -> np.ndarray:
-    """From the probability of each n-gram's byte after m - 1 bytes that after m; all n-grams of its context are given."""
-    arc, of_key = np.unique(key & ((1 << 8 * (m + 1)) - 1), return_inverse=True)
+def deepened(key: np.ndarray, n: np.ndarray, p: np.ndarray, m: int, least: float) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """From the probability of each n-gram's byte after m - 1 bytes that after m; all n-grams of its context are given.
+
+    Also the arcs that leave the contexts of m bytes: n-gram of m + 1 bytes, occurrences of its context, the context's
+    weight of failure, the byte's probability.
+    """
+    arc, first, of_key = np.unique(key & ((1 << 8 * (m + 1)) - 1), return_index=True, return_inverse=True)
     c = np.bincount(of_key, n, len(arc))
     ctx, of_arc = np.unique(arc >> 8, return_inverse=True)
     total, kinds = np.bincount(of_arc, c, len(ctx)), np.bincount(of_arc, c > 0, len(ctx))
     known = (total > 0) & (total >= least)
     if m:  # a context with a missing byte is no context of this length
         known &= ctx >= 1 << 8 * (m - 1)
-    of_key, ctx = of_arc[of_key], c[of_key]
-    return np.where(known[of_key], (ctx + kinds[of_key] * p) / np.maximum(1, total[of_key] + kinds[of_key]), p)
+    back = kinds / np.maximum(1, total + kinds)
+    p = np.where(known[of_arc], c / np.maximum(1, total + kinds)[of_arc] + back[of_arc] * p[first], p[first])
+    left = np.flatnonzero(known[of_arc] & (c > 0))
+    return p[of_key], (arc[left], total[of_arc[left]].astype(np.int64), back[of_arc[left]], p[left])
 
 
 class Table:
-    """Values by 64-bit key, sorted by buckets of about one key."""
+    """The places of 64-bit keys, which are sorted by buckets of about one key."""
 
-    def __init__(self, key: np.ndarray, value: np.ndarray):
+    def __init__(self, key: np.ndarray):
         self.bits = len(key).bit_length() + 1
         place = self.bucket(key)
-        order = np.argsort(place, kind="stable")
-        self.key, self.value = key[order], value[order]
-        self.first = np.searchsorted(place[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.order = np.argsort(place, kind="stable")
+        self.key = key[self.order]
+        self.first = np.searchsorted(place[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -203,56 +220,164 @@ class Table:
         return found
 
 
-def modelled(grams: DataFrame, positions: int, ws: Workspace, capacity: int | None) -> DataFrame:
-    """key, n and logp of every n-gram, written; with a capacity only contexts at 1 / capacity of all positions count."""
+class Automaton:
+    """States are contexts, the empty one first; each has arcs for the bytes seen after it and one failure arc.
+
+    An arc carries its byte's log-probability and leads to the longest state that ends the text read so far; a failure
+    arc carries the weight of falling back and leads to the state's longest proper ending.  The empty state has an arc
+    for every byte.  States are closed under endings, which hold at least as many occurrences.
+    """
+
+    def __init__(self, arc: np.ndarray, logp: np.ndarray, back: np.ndarray, complete: bool):
+        ctx, first = np.unique(arc >> 8, return_index=True)
+        states = Table(ctx)
+        state = np.empty(len(ctx), np.int32)
+        state[states.order] = np.arange(len(ctx))  # states are numbered by their places
+        held = states.key
+
+        def ending(text: np.ndarray, size: int) -> np.ndarray:
+            """The longest state of at most size bytes that ends each text."""
+            out, left = np.full(len(text), state[0], np.int32), np.arange(len(text))
+            for k in range(size, 0, -1):
+                own = text[left] & ((1 << 8 * k) - 1)
+                at = np.where(own >= 1 << 8 * (k - 1), states.find(own), -1)
+                out[left[at >= 0]] = at[at >= 0]
+                left = left[at < 0]
+            return out
+
+        self.root, self.complete = int(state[0]), complete
+        self.begin = int(ending(np.array([END]), 1)[0])  # a text begins after an end
+        self.length = sum((held >= 1 << 8 * k).astype(np.int8) for k in range(ORDER - 1))
+        self.back = back[first][states.order].astype(np.float32)
+        self.fail = np.empty(len(ctx), np.int32)
+        for k in range(ORDER):
+            own = np.flatnonzero(self.length == k)
+            self.fail[own] = ending(held[own], k - 1)
+        self.arcs = Table(states.find(arc >> 8).astype(np.int64) << 8 | arc & 255)
+        order = self.arcs.order
+        self.logp, self.to = logp[order].astype(np.float32), ending(arc, ORDER - 1)[order]
+        states.order = self.arcs.order = None
+
+    def read(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each byte's log-probability, and whether no longer context than the state's can count for it.
+
+        Reads all texts side by side from left to right.  Long ones are read in lanes that start ``ORDER`` - 1 bytes
+        early, after which the state is that of a pass from the text's start.
+        """
+        size = np.diff(off)
+        lanes = -(-size // LANE)
+        text = np.repeat(np.arange(len(size)), lanes)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        own = off[text] + LANE * k
+        start = own - np.where(k > 0, ORDER - 1, 0)
+        steps = np.minimum(own + LANE, off[text + 1]) - start
+        order = np.argsort(-steps, kind="stable")
+        start, own, steps, state = start[order], own[order], steps[order], np.where(k > 0, self.root, self.begin)[order].astype(np.int32)
+        active = len(steps) - np.cumsum(np.bincount(steps, minlength=1))  # lanes longer than j steps
+        logp, at_state = np.zeros(len(s), np.float64), np.zeros(len(s), np.int8)
+        for j in range(int(steps[0]) if len(steps) else 0):
+            a = int(active[j])
+            at, now = start[:a] + j, state[:a]
+            byte = s[at].astype(np.int64)
+            weight, length = np.zeros(a), self.length[now]
+            arc = self.arcs.find(now.astype(np.int64) << 8 | byte)
+            lost = np.flatnonzero(arc < 0)
+            while len(lost):
+                weight[lost] += self.back[now[lost]]
+                now[lost] = self.fail[now[lost]]
+                arc[lost] = self.arcs.find(now[lost].astype(np.int64) << 8 | byte[lost])
+                lost = lost[arc[lost] < 0]
+            weight += self.logp[arc]
+            state[:a] = self.to[arc]
+            if j < ORDER - 1:
+                given = at >= own[:a]
+                at, weight, length = at[given], weight[given], length[given]
+            logp[at], at_state[at] = weight, length
+        place = np.arange(len(s)) - np.repeat(off[:-1], size)
+        return logp, self.complete | (at_state == np.minimum(place + 1, ORDER - 1))
+
+
+def modelled(grams: DataFrame, positions: int, ws: Workspace, capacity: int | None) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
+    """The model, written, and the arcs of contexts of at most two bytes; with a capacity only contexts at 1 / capacity of all positions count.
+
+    Rows of level ``ORDER`` are all n-grams, those of lower levels the arcs of contexts of that many bytes: key, logp, and
+    for arcs the occurrences of their context (else 0) and its log weight of failure.
+    """
     least = positions / capacity if capacity else 0.0
     low = (1 << 24) - 1
     got = grams.groupBy(F.col("key").bitwiseAND(F.lit(low)).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # 2**24 rows at most
     key, n = np.asarray(got.column("key")), np.asarray(got.column("n"))
-    p = (np.bincount(key & 255, n, 256)[key & 255] + 0.5) / (positions + 0.5 * 256)
+    byte = (np.bincount(key & 255, n, 256) + 0.5) / (positions + 0.5 * 256)
+    p, short = byte[key & 255], [(np.arange(256), np.full(256, positions), np.ones(256), byte)]
     for m in (1, 2):
-        p = deepened(key, n, p, m, least)
+        p, arcs = deepened(key, n, p, m, least)
+        short.append(arcs)
     shared = grams.sparkSession.sparkContext.broadcast((key, p))
 
+    def rows(level: int, key: np.ndarray, total: np.ndarray, back: np.ndarray, p: np.ndarray):
+        logs = [np.log10(x).astype(np.float32) for x in (back, p)]
+        for i in range(0, len(key), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            made = [np.full(len(key[part]), level, np.int32), key[part], total[part], *(x[part] for x in logs)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["level", "key", "total", "back", "logp"])
+
     def run(batches):
         held = [(np.asarray(x.column("key")), np.asarray(x.column("n"))) for x in batches]
         if not held:
             return
         key, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
         short, p = shared.value
         p = p[np.searchsorted(short, key & low)]
-        for m in range(3, ORDER):
-            p = deepened(key, n, p, m, least)
-        logp = np.log10(p).astype(np.float32)
-        for i in range(0, len(key), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(n[part]), pa.array(logp[part])], ["key", "n", "logp"])
+        for m in range(3, ORDER - 1):
+            p, arcs = deepened(key, n, p, m, least)
+            yield from rows(m, *arcs)
+        p, (arc, total, back, _) = deepened(key, n, p, ORDER - 1, least)
+        every, weight = np.zeros(len(key), np.int64), np.ones(len(key))
+        at = np.searchsorted(key, arc)
+        every[at], weight[at] = total, back
+        yield from rows(ORDER, key, every, weight, p)
 
     context = F.shiftrightunsigned(F.col("key"), 8).bitwiseAND(F.lit(low))
     dealt = grams.select("key", "n").repartition(-(-grams.count() // PART), context)
-    return ws.put(dealt.mapInArrow(run, "key long, n long, logp float"), "model")
-
-
-def frequent_grams(model: DataFrame, positions: int, most: int) -> Table:
-    """The n-grams from the least count on at which no more than most are left."""
-    top = 1 << 16
-    size = sorted(model.groupBy(F.least("n", F.lit(top)).alias("c")).count().collect(), reverse=True)
-    fits = [r["c"] for r, held in zip(size, np.cumsum([r["count"] for r in size])) if held <= most]
-    got = model.where(F.col("n") >= min(fits) if fits else F.col("n") * most >= positions).select("key", "logp").toArrow()  # most rows at most
-    return Table(np.asarray(got.column("key")), np.asarray(got.column("logp")))
+    made = ws.put(dealt.mapInArrow(run, "level int, key long, total long, back float, logp float"), "model")
+    return made, tuple(np.concatenate(x) for x in zip(*short))
+
+
+def frequent_contexts(model: DataFrame, short: tuple[np.ndarray, ...], most: int) -> Automaton:
+    """The automaton of the contexts from the least number of occurrences on at which they have no more than most arcs."""
+    key, total, back, p = short
+    fine = 16.0  # steps for each doubling of the number of occurrences
+    found = model.where("total > 0").groupBy(F.floor(F.log2("total") * fine).alias("step")).count().collect()
+    size = Counter({int(r["step"]): r["count"] for r in found})
+    size.update(np.floor(np.log2(total[256:]) * fine).astype(int).tolist())
+    steps = sorted(size, reverse=True)
+    fits = [x for x, held in zip(steps, np.cumsum([size[x] for x in steps])) if held <= most]
+    complete = len(fits) == len(steps)
+    least = 1 if complete else math.ceil(2 ** (fits[-1] / fine)) if fits else None
+    own = np.arange(len(key)) < 256  # the empty context is always a state
+    if least is None:
+        return Automaton(key[own], np.log10(p[own]), np.log10(back[own]), complete)
+    own |= total >= least
+    got = model.where((F.col("total") > 0) & (F.col("total") >= least)).select("key", "back", "logp").toArrow()  # most rows at most
+    columns = zip((key[own], np.log10(back[own]), np.log10(p[own])), (np.asarray(got.column(c)) for c in ("key", "back", "logp")))
+    key, back, logp = (np.concatenate(x) for x in columns)
+    return Automaton(key, logp, back, complete)
 
 
 def score(docs: DataFrame, capacity: int | None = None, hot: int = HOT, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
+    bounded(spark)
     ws = Workspace(spark, "lm")
     known = counts(docs.select(F.col("doc_id").cast("long"), "text"), ws)
     words, grams = known.where("kind = 0").select("key", "n"), known.where("kind = 1").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     positions = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = words.where(F.col("n") * hot >= total).orderBy("key").toArrow()  # hot rows at most
-    model = modelled(grams, positions, ws, capacity) if positions else None
-    common = frequent_grams(model, positions, hot_grams) if positions else None
+    model, short = modelled(grams, positions, ws, capacity) if positions else (None, None)
+    common = frequent_contexts(model, short, hot_grams) if positions else None
     ends = words.where(F.col("key") == END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast((np.asarray(frequent.column("key")), np.asarray(frequent.column("n")).astype(np.float64), common))
 
@@ -275,10 +400,10 @@ def score(docs: DataFrame, capacity: int | None = None, hot: int = HOT, hot_gram
                 s, so = stream(buf, off, starts, stops, at)
                 lm, rare, rares = np.zeros(len(size)), np.zeros(0, np.int64), np.zeros(len(size) + 1, np.int64)
                 if common:
-                    key = grams_of(s, so)
-                    found = common.find(key)
-                    lm = K.segment_sum(np.where(found >= 0, common.value[found] if len(common.key) else 0.0, 0.0).astype(np.float64), so)
-                    rare, rares = key[found < 0], np.concatenate(([0], np.cumsum(found < 0)))[so]
+                    logp, sure_of = common.read(s, so)
+                    lm = K.segment_sum(np.where(sure_of, logp, 0.0), so)
+                    if not sure_of.all():
+                        rare, rares = grams_of(s, so)[~sure_of], np.concatenate(([0], np.cumsum(~sure_of)))[so]
                 tails = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((tail, rest), (rares, rare))]
                 cols = [part.column("doc_id"), part.column("held_out"), pa.array(size + 1), pa.array(sure), pa.array(base), pa.array(lm), *tails]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "hot_score", "tail", "rare"])
@@ -295,7 +420,7 @@ def score(docs: DataFrame, capacity: int | None = None, hot: int = HOT, hot_gram
     lm = F.col("hot_score")
     if model:
         rare = first.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-        rare = rare.join(model.select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("rare_sum"))
+        rare = rare.join(model.where(F.col("level") == ORDER).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("rare_sum"))
         out, lm = out.join(rare, "row", "left"), lm + F.coalesce("rare_sum", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens",

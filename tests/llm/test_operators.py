@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
-from tessera.llm import decontaminate, html_text, kernels, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, token_output
+from tessera.llm import common, decontaminate, html_text, kernels, language_id, line_dedup, lm_scoring, ngram_join, packing, pii, quality_rules, token_output
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -488,6 +488,33 @@ def test_lm_scoring_keeps_every_context(corpus):
         assert all(g[0] == w[0] and abs(g[1] - w[1]) <= 1e-3 + 1e-5 * abs(w[1]) for g, w in zip(got, want, strict=True))
 
 
+@pytest.mark.parametrize("most", (0, 300, 10**9))
+def test_automaton_reads_as_definitions_say(spark, monkeypatch, most):
+    """Every byte that the automaton settles has the probability of the definition, in lanes as in one pass."""
+    rng = random.Random(most)
+    texts = ["".join(rng.choice("aab bc d") for _ in range(rng.randint(0, 150))) for _ in range(30)] + ["", "zq"]
+    _, p = backoff(texts[:20], lm_scoring.ORDER, 10**9)
+    flat, at = kernels.flat(pa.array(texts))
+    s, off = lm_scoring.stream(flat, at, *kernels.word_spans(flat, at))
+    grams, known = lm_scoring.grams_of(s, off), off[20]
+    rows = [(k, n) for k, n in Counter(grams[:known].tolist()).items()] + [(k, 0) for k in {*grams[known:].tolist()} - {*grams[:known].tolist()}]
+    monkeypatch.setattr(lm_scoring, "PART", 64)
+    ws = common.Workspace(spark, "automaton")
+    model, short = lm_scoring.modelled(spark.createDataFrame(rows, "key long, n long"), int(known), ws, None)
+    automaton = lm_scoring.frequent_contexts(model, short, most)
+    assert automaton.complete == (most == 10**9) and len(automaton.logp) <= most + 256
+    want = np.array([math.log10(p(h[max(0, j - lm_scoring.ORDER + 1) : j], h[j])) for a, b in zip(off[:-1], off[1:]) for h in [b"\n" + s[a:b].tobytes()] for j in range(1, len(h))])
+    seen = []
+    for lane in (lm_scoring.ORDER - 1, 11, 512):
+        monkeypatch.setattr(lm_scoring, "LANE", lane)
+        logp, sure = automaton.read(s, off)
+        assert np.allclose(logp[sure], want[sure], atol=1e-5)
+        seen.append((logp.tolist(), sure.tolist()))
+    assert seen[0] == seen[1] == seen[2] and sure.all() == automaton.complete and sure.any() == (most > 0)
+    left = dict(model.where(f"level = {lm_scoring.ORDER}").select("key", "logp").collect())
+    assert np.allclose([left[k] for k in grams.tolist()], want, atol=1e-5)
+
+
 def alone(page):
     """The text of a page without a template."""
     x = html_text.Page(page)
