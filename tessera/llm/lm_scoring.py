@@ -36,7 +36,7 @@ from tessera.llm.common import Workspace, bounded, slices
 
 ORDER = 7
 HOT = 1 << 21
-HOT_GRAMS = 1 << 22
+HOT_GRAMS = 3 << 20
 LANE = 512  # bytes that one lane reads of a long text
 PART = 1 << 18  # mean n-grams of a partition of the model
 END = 10
@@ -196,14 +196,17 @@ class Table:
     """The places of 64-bit keys, which are sorted by buckets of about one key."""
 
     def __init__(self, key: np.ndarray):
-        self.bits = len(key).bit_length() + 1
+        self.bits = len(key).bit_length()
         place = self.bucket(key)
-        self.order = np.argsort(place, kind="stable")
+        self.order = np.argsort(place, kind="stable").astype(np.int32)
         self.key = key[self.order]
-        self.first = np.searchsorted(place[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.first = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(place, minlength=1 << self.bits), out=self.first[1:])
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
-        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        place = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        place >>= np.uint64(64 - self.bits)
+        return place.view(np.int64)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The place of each key, -1 if it isn't held."""
@@ -229,7 +232,10 @@ class Automaton:
     """
 
     def __init__(self, arc: np.ndarray, logp: np.ndarray, back: np.ndarray, complete: bool):
-        ctx, first = np.unique(arc >> 8, return_index=True)
+        order = np.argsort(arc)
+        arc, logp, back = arc[order], logp[order], back[order]
+        first = np.flatnonzero(np.diff(arc >> 8, prepend=-1))
+        ctx = arc[first] >> 8
         states = Table(ctx)
         state = np.empty(len(ctx), np.int32)
         state[states.order] = np.arange(len(ctx))  # states are numbered by their places
@@ -237,12 +243,14 @@ class Automaton:
 
         def ending(text: np.ndarray, size: int) -> np.ndarray:
             """The longest state of at most size bytes that ends each text."""
-            out, left = np.full(len(text), state[0], np.int32), np.arange(len(text))
-            for k in range(size, 0, -1):
-                own = text[left] & ((1 << 8 * k) - 1)
-                at = np.where(own >= 1 << 8 * (k - 1), states.find(own), -1)
-                out[left[at >= 0]] = at[at >= 0]
-                left = left[at < 0]
+            out = np.full(len(text), state[0], np.int32)
+            for a in range(0, len(text), 1 << 17):  # a part at a time, for memory
+                left = np.arange(a, min(a + (1 << 17), len(text)))
+                for k in range(size, 0, -1):
+                    own = text[left] & ((1 << 8 * k) - 1)
+                    at = np.where(own >= 1 << 8 * (k - 1), states.find(own), -1)
+                    out[left[at >= 0]] = at[at >= 0]
+                    left = left[at < 0]
             return out
 
         self.root, self.complete = int(state[0]), complete
@@ -253,9 +261,9 @@ class Automaton:
         for k in range(ORDER):
             own = np.flatnonzero(self.length == k)
             self.fail[own] = ending(held[own], k - 1)
-        self.arcs = Table(states.find(arc >> 8).astype(np.int64) << 8 | arc & 255)
-        order = self.arcs.order
-        self.logp, self.to = logp[order].astype(np.float32), ending(arc, ORDER - 1)[order]
+        to = ending(arc, ORDER - 1)
+        self.arcs = Table(np.repeat(state, np.diff(np.append(first, len(arc)))).astype(np.int64) << 8 | arc & 255)
+        self.logp, self.to = logp[self.arcs.order].astype(np.float32), to[self.arcs.order]
         states.order = self.arcs.order = None
 
     def read(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,7 +355,8 @@ def modelled(grams: DataFrame, positions: int, ws: Workspace, capacity: int | No
 
 def frequent_contexts(model: DataFrame, short: tuple[np.ndarray, ...], most: int) -> Automaton:
     """The automaton of the contexts from the least number of occurrences on at which they have no more than most arcs."""
-    key, total, back, p = short
+    key, total = short[:2]
+    back, logp = (np.log10(x).astype(np.float32) for x in short[2:])
     fine = 16.0  # steps for each doubling of the number of occurrences
     found = model.where("total > 0").groupBy(F.floor(F.log2("total") * fine).alias("step")).count().collect()
     size = Counter({int(r["step"]): r["count"] for r in found})
@@ -358,11 +367,11 @@ def frequent_contexts(model: DataFrame, short: tuple[np.ndarray, ...], most: int
     least = 1 if complete else math.ceil(2 ** (fits[-1] / fine)) if fits else None
     own = np.arange(len(key)) < 256  # the empty context is always a state
     if least is None:
-        return Automaton(key[own], np.log10(p[own]), np.log10(back[own]), complete)
+        return Automaton(key[own], logp[own], back[own], complete)
     own |= total >= least
     got = model.where((F.col("total") > 0) & (F.col("total") >= least)).select("key", "back", "logp").toArrow()  # most rows at most
-    columns = zip((key[own], np.log10(back[own]), np.log10(p[own])), (np.asarray(got.column(c)) for c in ("key", "back", "logp")))
-    key, back, logp = (np.concatenate(x) for x in columns)
+    key, back, logp = (np.concatenate([x[own], *(np.asarray(part) for part in got.column(c).chunks)]) for c, x in (("key", key), ("back", back), ("logp", logp)))
+    del got
     return Automaton(key, logp, back, complete)
 
 
