@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.common import Workspace, bounded, slices
+from tessera.llm.common import Workspace, bounded, released, slices
 
 ORDER = 7
 HOT = 1 << 21
@@ -121,11 +121,32 @@ def grams_of(s: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, those of one significance together, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    apart = np.frombuffer(pa.decompress(raw, 8 * size, codec="zstd"), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(apart.T).view(np.int64).ravel()
+
+
+def tallied(keys: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The distinct keys of every text and how often each stands in it; off are the n + 1 offsets of the texts."""
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))) if len(keys) else np.zeros(0, bool))
+    times = np.diff(np.append(first, len(keys)))
+    found = pa.StructArray.from_arrays([pa.array(keys[first]), pa.array(times.astype(np.int64))], ["key", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[first], np.arange(len(off))).astype(np.int32)), found)
+
+
 def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
     """kind 0: words of training rows by hash, kind 1: byte n-grams of ORDER of all rows; n counts training rows. Written.
 
     A task deals its counts to the shuffle's partitions itself, keys and counts of a partition as one row, so that no
-    engine row is spent on each; a partition then merges sorted runs.
+    engine row is spent on each; a partition then merges sorted runs.  A run's keys are its steps from key to key.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -138,7 +159,7 @@ def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
         for r in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
             own = slice(int(ends[r - 1]) if r else 0, int(ends[r]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind], pa.int32()), pa.array([r], pa.int32()), pa.array([key[own].tobytes()], pa.binary()), pa.array([n[own].tobytes()], pa.binary())], ["kind", "part", "keys", "n"]
+                [*(pa.array([x], pa.int32()) for x in (kind, r, len(key[own]))), *(pa.array([packed(x)], pa.binary()) for x in (np.diff(key[own], prepend=0), n[own]))], ["kind", "part", "size", "keys", "n"]
             )
 
     def run(batches):
@@ -166,10 +187,11 @@ def counts(docs: DataFrame, ws: Workspace) -> DataFrame:
         yield from given(1, grams)
 
     def add(table: pa.Table) -> pa.Table:
-        key, n = merged(*([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)] for c in ("keys", "n")))
+        keys, n = ([unpacked(x.as_py(), size.as_py()) for x, size in zip(table.column(c), table.column("size"))] for c in ("keys", "n"))
+        key, n = merged([np.cumsum(x) for x in keys], n)
         return pa.table({"kind": pa.array(np.full(len(key), table.column("kind")[0].as_py(), np.int32)), "key": pa.array(key), "n": pa.array(n)})
 
-    rows = docs.select(held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "kind int, part int, keys binary, n binary")
+    rows = docs.select(held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "kind int, part int, size int, keys binary, n binary")
     return ws.put(rows.groupBy("kind", "part").applyInArrow(add, "kind int, key long, n long"), "counts")
 
 
@@ -198,10 +220,11 @@ class Table:
     def __init__(self, key: np.ndarray):
         self.bits = len(key).bit_length()
         place = self.bucket(key)
-        self.order = np.argsort(place, kind="stable").astype(np.int32)
-        self.key = key[self.order]
         self.first = np.zeros((1 << self.bits) + 1, np.int32)
         np.cumsum(np.bincount(place, minlength=1 << self.bits), out=self.first[1:])
+        self.order = np.argsort(place, kind="stable").astype(np.int32)
+        del place
+        self.key = key[self.order]
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         place = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -232,9 +255,9 @@ class Automaton:
     """
 
     def __init__(self, arc: np.ndarray, logp: np.ndarray, back: np.ndarray, complete: bool):
-        order = np.argsort(arc)
-        arc, logp, back = arc[order], logp[order], back[order]
-        first = np.flatnonzero(np.diff(arc >> 8, prepend=-1))
+        order = np.argsort(arc).astype(np.int32)
+        arc = arc[order]
+        first = np.flatnonzero(np.concatenate(([True], (arc[1:] ^ arc[:-1]) > 255))).astype(np.int32)
         ctx = arc[first] >> 8
         states = Table(ctx)
         state = np.empty(len(ctx), np.int32)
@@ -255,20 +278,27 @@ class Automaton:
 
         self.root, self.complete = int(state[0]), complete
         self.begin = int(ending(np.array([END]), 1)[0])  # a text begins after an end
-        self.length = sum((held >= 1 << 8 * k).astype(np.int8) for k in range(ORDER - 1))
-        self.back = back[first][states.order].astype(np.float32)
+        self.length = length = sum((held >= 1 << 8 * k).astype(np.int8) for k in range(ORDER - 1))
+        self.back = back[order[first]][states.order].astype(np.float32)
         self.fail = np.empty(len(ctx), np.int32)
         for k in range(ORDER):
             own = np.flatnonzero(self.length == k)
             self.fail[own] = ending(held[own], k - 1)
-        to = ending(arc, ORDER - 1)
-        self.arcs = Table(np.repeat(state, np.diff(np.append(first, len(arc)))).astype(np.int64) << 8 | arc & 255)
-        self.logp, self.to = logp[self.arcs.order].astype(np.float32), to[self.arcs.order]
-        states.order = self.arcs.order = None
+        to, source = ending(arc, ORDER - 1), np.repeat(state, np.diff(np.append(first, len(arc))))
+        full = length[to] == np.minimum(length[source] + 1, ORDER - 1)
+        arc &= 255
+        arc |= source.astype(np.int64) << 8
+        del source, ending, states
+        self.arcs = Table(arc)
+        self.to, self.logp = to[self.arcs.order], logp[order[self.arcs.order]].astype(np.float32)
+        self.full = full[self.arcs.order]  # whether the arc's whole text is a state, or its last ORDER - 1 bytes are
+        self.arcs.order = None
 
     def read(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each byte's log-probability, and whether no longer context than the state's can count for it.
 
+        None can if the state is as long as contexts get, or if it was so before and the arc's whole text is a state; a
+        text that has no arc was never counted, so the states that failure arcs lead to are no shorter than they should be.
         Reads all texts side by side from left to right.  Long ones are read in lanes that start ``ORDER`` - 1 bytes
         early, after which the state is that of a pass from the text's start.
         """
@@ -281,8 +311,9 @@ class Automaton:
         steps = np.minimum(own + LANE, off[text + 1]) - start
         order = np.argsort(-steps, kind="stable")
         start, own, steps, state = start[order], own[order], steps[order], np.where(k > 0, self.root, self.begin)[order].astype(np.int32)
+        sure = self.length[state] == np.where(k > 0, ORDER - 1, 1)[order]
         active = len(steps) - np.cumsum(np.bincount(steps, minlength=1))  # lanes longer than j steps
-        logp, at_state = np.zeros(len(s), np.float64), np.zeros(len(s), np.int8)
+        logp, at_state, settled = np.zeros(len(s), np.float64), np.zeros(len(s), np.int8), np.zeros(len(s), bool)
         for j in range(int(steps[0]) if len(steps) else 0):
             a = int(active[j])
             at, now = start[:a] + j, state[:a]
@@ -296,13 +327,16 @@ class Automaton:
                 arc[lost] = self.arcs.find(now[lost].astype(np.int64) << 8 | byte[lost])
                 lost = lost[arc[lost] < 0]
             weight += self.logp[arc]
+            was = sure[:a].copy()
             state[:a] = self.to[arc]
+            sure[:a] &= self.full[arc]
+            sure[:a] |= self.length[state[:a]] == ORDER - 1
             if j < ORDER - 1:
                 given = at >= own[:a]
-                at, weight, length = at[given], weight[given], length[given]
-            logp[at], at_state[at] = weight, length
+                at, weight, length, was = at[given], weight[given], length[given], was[given]
+            logp[at], at_state[at], settled[at] = weight, length, was
         place = np.arange(len(s)) - np.repeat(off[:-1], size)
-        return logp, self.complete | (at_state == np.minimum(place + 1, ORDER - 1))
+        return logp, self.complete | settled | (at_state == np.minimum(place + 1, ORDER - 1))
 
 
 def modelled(grams: DataFrame, positions: int, ws: Workspace, capacity: int | None) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
@@ -357,6 +391,7 @@ def frequent_contexts(model: DataFrame, short: tuple[np.ndarray, ...], most: int
     """The automaton of the contexts from the least number of occurrences on at which they have no more than most arcs."""
     key, total = short[:2]
     back, logp = (np.log10(x).astype(np.float32) for x in short[2:])
+    released()
     fine = 16.0  # steps for each doubling of the number of occurrences
     found = model.where("total > 0").groupBy(F.floor(F.log2("total") * fine).alias("step")).count().collect()
     size = Counter({int(r["step"]): r["count"] for r in found})
@@ -413,22 +448,21 @@ def score(docs: DataFrame, capacity: int | None = None, hot: int = HOT, hot_gram
                     lm = K.segment_sum(np.where(sure_of, logp, 0.0), so)
                     if not sure_of.all():
                         rare, rares = grams_of(s, so)[~sure_of], np.concatenate(([0], np.cumsum(~sure_of)))[so]
-                tails = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((tail, rest), (rares, rare))]
-                cols = [part.column("doc_id"), part.column("held_out"), pa.array(size + 1), pa.array(sure), pa.array(base), pa.array(lm), *tails]
+                cols = [part.column("doc_id"), part.column("held_out"), pa.array(size + 1), pa.array(sure), pa.array(base), pa.array(lm), tallied(rest, tail), tallied(rare, rares)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "hot_score", "tail", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    first = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, hot_score double, tail array<long>, rare array<long>")
+    kind = "array<struct<key: bigint, times: bigint>>"
+    first = rows.mapInArrow(run, f"doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, hot_score double, tail {kind}, rare {kind}")
     first = ws.put(first.withColumn("row", F.monotonically_increasing_id()), "first")
-    tail = first.select("row", F.explode("tail").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    tail = tail.join(words, "key", "left").groupBy("row").agg(
+    tail = first.select("row", F.inline("tail")).join(words, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("tail_sum"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known")
     )
     per = float(np.log10(total + 0.5 * (kinds + 1)))
     out = first.drop("tail", "rare").join(tail, "row", "left")
     lm = F.col("hot_score")
     if model:
-        rare = first.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
+        rare = first.select("row", F.inline("rare"))
         rare = rare.join(model.where(F.col("level") == ORDER).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("rare_sum"))
         out, lm = out.join(rare, "row", "left"), lm + F.coalesce("rare_sum", F.lit(0.0))
     return out.select(

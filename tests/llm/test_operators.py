@@ -509,8 +509,9 @@ def test_automaton_reads_as_definitions_say(spark, monkeypatch, most):
         monkeypatch.setattr(lm_scoring, "LANE", lane)
         logp, sure = automaton.read(s, off)
         assert np.allclose(logp[sure], want[sure], atol=1e-5)
-        seen.append((logp.tolist(), sure.tolist()))
-    assert seen[0] == seen[1] == seen[2] and sure.all() == automaton.complete and sure.any() == (most > 0)
+        seen.append((logp, sure))
+    assert all((x == logp).all() and not (y & ~sure).any() for x, y in seen)  # lanes may settle less, never otherwise
+    assert sure.all() == automaton.complete and sure.any() == (most > 0)
     left = dict(model.where(f"level = {lm_scoring.ORDER}").select("key", "logp").collect())
     assert np.allclose([left[k] for k in grams.tolist()], want, atol=1e-5)
 
