@@ -109,15 +109,18 @@ def stream(buf: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return out, np.concatenate(([0], np.cumsum(lengths)))
 
 
-def grams_of(s: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The ORDER-gram that ends at each byte of a stream: the byte lowest, the one before it next, 0 before the text."""
-    key = s.astype(np.int64)
-    place = np.arange(len(s)) - np.repeat(off[:-1], np.diff(off))
+def grams_of(s: np.ndarray, off: np.ndarray, chosen: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The ORDER-gram that ends at each chosen byte of a stream: the byte lowest, the one before it next, 0 before the text."""
+    place = (np.arange(len(s)) - np.repeat(off[:-1], np.diff(off)))[chosen]
+    at = np.arange(len(s))[chosen] + ORDER
+    padded = np.concatenate((np.zeros(ORDER, np.uint8), s))
+    key = padded[at].astype(np.int64)
+    early = np.flatnonzero(place < ORDER - 1)
     for k in range(1, ORDER):
-        prior = np.zeros(len(s), np.int64)
-        prior[k:] = s[:-k]
-        prior[place < k] = np.where(place[place < k] == k - 1, END, 0)  # a text begins after an end
-        key |= prior << (8 * k)
+        prior = padded[at - k]
+        own = early[place[early] < k]
+        prior[own] = np.where(place[own] == k - 1, END, 0)  # a text begins after an end
+        key |= prior.astype(np.int64) << (8 * k)
     return key
 
 
@@ -224,7 +227,7 @@ class Table:
         np.cumsum(np.bincount(place, minlength=1 << self.bits), out=self.first[1:])
         self.order = np.argsort(place, kind="stable").astype(np.int32)
         del place
-        self.key = key[self.order]
+        self.key = np.append(key[self.order], -1)  # there is always one to look at
 
     def bucket(self, key: np.ndarray) -> np.ndarray:
         place = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -234,15 +237,17 @@ class Table:
     def find(self, key: np.ndarray) -> np.ndarray:
         """The place of each key, -1 if it isn't held."""
         place = self.bucket(key)
-        at, end = self.first[place], self.first[place + 1]
-        found = np.full(len(key), -1, np.int32)
-        left = np.flatnonzero(at < end)
+        at = self.first[place]
+        hit = self.key[at] == key
+        found = np.where(hit, at, np.int32(-1))
+        left = np.flatnonzero(~hit)
+        at, end = at[left] + 1, self.first[place[left] + 1]
         while len(left):
-            hit = self.key[at[left]] == key[left]
-            found[left[hit]] = at[left[hit]]
-            left = left[~hit]
-            at[left] += 1
-            left = left[at[left] < end[left]]
+            more = at < end
+            left, at, end = left[more], at[more], end[more]
+            hit = self.key[at] == key[left]
+            found[left[hit]] = at[hit]
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
         return found
 
 
@@ -262,7 +267,7 @@ class Automaton:
         states = Table(ctx)
         state = np.empty(len(ctx), np.int32)
         state[states.order] = np.arange(len(ctx))  # states are numbered by their places
-        held = states.key
+        held = states.key[:-1]
 
         def ending(text: np.ndarray, size: int) -> np.ndarray:
             """The longest state of at most size bytes that ends each text."""
@@ -290,8 +295,16 @@ class Automaton:
         arc |= source.astype(np.int64) << 8
         del source, ending, states
         self.arcs = Table(arc)
-        self.to, self.logp = to[self.arcs.order], logp[order[self.arcs.order]].astype(np.float32)
-        self.full = full[self.arcs.order]  # whether the arc's whole text is a state, or its last ORDER - 1 bytes are
+        del arc
+        # An arc's key stands beside what it carries: the state it leads to, that state's length, whether the arc's
+        # whole text or its last ORDER - 1 bytes are that state, and the bits of the log-probability.
+        self.cells = np.full((len(to) + 1, 2), -1)
+        self.cells[:, 0] = self.arcs.key
+        self.arcs.key = None
+        carried = (to.astype(np.int64) << 4 | length[to] << 1 | full) << 32
+        del to, full
+        carried |= logp[order].astype(np.float32).view(np.uint32).astype(np.int64)
+        self.cells[:-1, 1] = carried[self.arcs.order]
         self.arcs.order = None
 
     def read(self, s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,6 +315,8 @@ class Automaton:
         Reads all texts side by side from left to right.  Long ones are read in lanes that start ``ORDER`` - 1 bytes
         early, after which the state is that of a pass from the text's start.
         """
+        self.arcs.key = self.cells[:, 0]
+        carried = self.cells[:, 1]
         size = np.diff(off)
         lanes = -(-size // LANE)
         text = np.repeat(np.arange(len(size)), lanes)
@@ -311,30 +326,34 @@ class Automaton:
         steps = np.minimum(own + LANE, off[text + 1]) - start
         order = np.argsort(-steps, kind="stable")
         start, own, steps, state = start[order], own[order], steps[order], np.where(k > 0, self.root, self.begin)[order].astype(np.int32)
-        sure = self.length[state] == np.where(k > 0, ORDER - 1, 1)[order]
+        length = self.length[state]
+        sure = length == np.where(k > 0, ORDER - 1, 1)[order]
         active = len(steps) - np.cumsum(np.bincount(steps, minlength=1))  # lanes longer than j steps
         logp, at_state, settled = np.zeros(len(s), np.float64), np.zeros(len(s), np.int8), np.zeros(len(s), bool)
         for j in range(int(steps[0]) if len(steps) else 0):
             a = int(active[j])
-            at, now = start[:a] + j, state[:a]
+            start, own, state, length, sure = start[:a], own[:a], state[:a], length[:a], sure[:a]
+            at = start + j
             byte = s[at].astype(np.int64)
-            weight, length = np.zeros(a), self.length[now]
-            arc = self.arcs.find(now.astype(np.int64) << 8 | byte)
+            weight = np.zeros(a)
+            arc = self.arcs.find(state.astype(np.int64) << 8 | byte)
             lost = np.flatnonzero(arc < 0)
             while len(lost):
-                weight[lost] += self.back[now[lost]]
-                now[lost] = self.fail[now[lost]]
-                arc[lost] = self.arcs.find(now[lost].astype(np.int64) << 8 | byte[lost])
+                weight[lost] += self.back[state[lost]]
+                state[lost] = self.fail[state[lost]]
+                arc[lost] = self.arcs.find(state[lost].astype(np.int64) << 8 | byte[lost])
                 lost = lost[arc[lost] < 0]
-            weight += self.logp[arc]
-            was = sure[:a].copy()
-            state[:a] = self.to[arc]
-            sure[:a] &= self.full[arc]
-            sure[:a] |= self.length[state[:a]] == ORDER - 1
+            got = carried[arc]
+            weight += got.astype(np.uint32).view(np.float32)
             if j < ORDER - 1:
-                given = at >= own[:a]
-                at, weight, length, was = at[given], weight[given], length[given], was[given]
-            logp[at], at_state[at], settled[at] = weight, length, was
+                given = at >= own
+                at, weight, length, sure_of = at[given], weight[given], length[given], sure[given]
+            else:
+                sure_of = sure
+            logp[at], at_state[at], settled[at] = weight, length, sure_of
+            got >>= 32
+            state, length = (got >> 4).astype(np.int32), (got >> 1 & 7).astype(np.int8)
+            sure = sure & (got & 1).astype(bool) | (length == ORDER - 1)
         place = np.arange(len(s)) - np.repeat(off[:-1], size)
         return logp, self.complete | settled | (at_state == np.minimum(place + 1, ORDER - 1))
 
@@ -447,7 +466,7 @@ def score(docs: DataFrame, capacity: int | None = None, hot: int = HOT, hot_gram
                     logp, sure_of = common.read(s, so)
                     lm = K.segment_sum(np.where(sure_of, logp, 0.0), so)
                     if not sure_of.all():
-                        rare, rares = grams_of(s, so)[~sure_of], np.concatenate(([0], np.cumsum(~sure_of)))[so]
+                        rare, rares = grams_of(s, so, ~sure_of), np.concatenate(([0], np.cumsum(~sure_of)))[so]
                 cols = [part.column("doc_id"), part.column("held_out"), pa.array(size + 1), pa.array(sure), pa.array(base), pa.array(lm), tallied(rest, tail), tallied(rare, rares)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "hot_score", "tail", "rare"])
 

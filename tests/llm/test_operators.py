@@ -502,7 +502,7 @@ def test_automaton_reads_as_definitions_say(spark, monkeypatch, most):
     ws = common.Workspace(spark, "automaton")
     model, short = lm_scoring.modelled(spark.createDataFrame(rows, "key long, n long"), int(known), ws, None)
     automaton = lm_scoring.frequent_contexts(model, short, most)
-    assert automaton.complete == (most == 10**9) and len(automaton.logp) <= most + 256
+    assert automaton.complete == (most == 10**9) and len(automaton.cells) <= most + 257
     want = np.array([math.log10(p(h[max(0, j - lm_scoring.ORDER + 1) : j], h[j])) for a, b in zip(off[:-1], off[1:]) for h in [b"\n" + s[a:b].tobytes()] for j in range(1, len(h))])
     seen = []
     for lane in (lm_scoring.ORDER - 1, 11, 512):
